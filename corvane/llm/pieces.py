@@ -24,69 +24,78 @@ from corvane.llm.tokens import VOCABULARY, encode, token_bytes
 #: Levels of boundaries from the strongest on.
 LEVELS = ("section", "block", "item", "line", "sentence", "clause", "word", "character")
 CHARACTER = len(LEVELS) - 1
-#: Lines that begin a section, a block (fence, table row) or an item; a line of ``=`` or ``-`` underlines a heading.
-SECTION = re.compile(rb"#{1,6}[ \t]|<h[1-6][ >]|={3,}\s*$|-{3,}\s*$")
+#: Lines that begin a section, a block (fence, table row, markup) or an item.
+SECTION = re.compile(rb"#{1,6}[ \t]|<h[1-6][ >]")
 BLOCK = re.compile(rb"```|~~~|\||<(?:p|ul|ol|table|div|section|pre)[ >]")
 ITEM = re.compile(rb"[ \t]*(?:[-*+]|\d{1,4}[.)]|<li>|<tr>)[ \t]*\S")
-LINE = re.compile(rb"\r\n|\n|\r")
-#: Closing marks of sentences and clauses of one byte, and those of three bytes (ideographic stops and commas).
-SENTENCE_END, CLAUSE_END = np.frombuffer(b".!?;", np.uint8), np.frombuffer(b",:", np.uint8)
+EMPTY = re.compile(rb"[ \t]*(?:[\r\n]|\Z)")
+
+
+def _table(chars: bytes) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[np.frombuffer(chars, np.uint8)] = True
+    return out
+
+
+#: First bytes of lines that may be more than a line; closing marks of sentences and clauses, the wide ones by their UTF-8 bytes.
+SPECIAL, GAP, SENTENCE_END, CLAUSE_END = _table(b"#<`~|-*+0123456789 \t"), _table(b" \t"), _table(b".!?;"), _table(b",:")
 WIDE_SENTENCE_END, WIDE_CLAUSE_END = ("。", "！", "？", "；"), ("，", "、", "：")
-#: Tokens at each end of a piece that a cut may change.
-EDGE = 6
+#: Tokens at each end of a piece that a cut may change; bytes of text that are analysed together.
+EDGE, TOGETHER = 6, 4_000_000
 PIECE = "limit_id int, piece_no int, n_tokens int, overlap_tokens int, boundary string, piece string"
 
 
 def boundaries(raw: bytes) -> list[np.ndarray]:
     """Per level from section to word, the byte places where a piece may begin."""
-    places: list[list[int]] = [[], [], [], []]
-    begin, blank, first = 0, False, True
-    ends = [m.end() for m in LINE.finditer(raw)]
-    for begin, end in zip([0, *ends], [*ends, len(raw)], strict=True) if ends else ():
-        empty = not raw[begin:end].strip()
-        if not first and not empty:
-            if SECTION.match(raw[begin:end]) and raw[begin : begin + 1] not in b"=-":
-                level = 0
-            elif blank or BLOCK.match(raw, begin, end):
-                level = 1
-            elif ITEM.match(raw, begin, end):
-                level = 2
-            else:
-                level = 3
-            places[level].append(begin)
-        first, blank = first and empty, empty
     byte = np.frombuffer(raw, np.uint8)
-    gap = (byte == 32) | (byte == 9)
+    none = np.zeros(0, np.int64)
+    if not len(byte):
+        return [none] * CHARACTER
+    newline, back = byte == 10, byte == 13
+    back[:-1] &= ~newline[1:]  # of a pair the second byte ends the line
+    lines = np.flatnonzero(newline | back) + 1
+    lines = lines[lines < len(byte)]
+    first = byte[lines]
+    empty = (first == 10) | (first == 13)
+    level = np.full(len(lines), 3, np.int8)
+    for k in np.flatnonzero(SPECIAL[first]).tolist():
+        at = int(lines[k])
+        if EMPTY.match(raw, at):
+            empty[k] = True
+        elif SECTION.match(raw, at):
+            level[k] = 0
+        elif BLOCK.match(raw, at):
+            level[k] = 1
+        elif ITEM.match(raw, at):
+            level[k] = 2
+    after_blank = np.concatenate([[False], empty[:-1]])
+    level[after_blank & (level > 1)] = 1
+    lines, level = lines[~empty], level[~empty]
+    gap = GAP[byte]
     starts = np.flatnonzero(gap[:-1] & ~gap[1:]) + 1  # a word begins after the blanks
-    runs = np.flatnonzero(gap & ~np.concatenate([[False], gap[:-1]])) if len(byte) else np.zeros(0, np.int64)
-    runs = runs[: len(starts)] if len(runs) >= len(starts) else runs
-    before = byte[np.maximum(runs - 1, 0)]
-    sentence, clause = starts[np.isin(before, SENTENCE_END)], starts[np.isin(before, CLAUSE_END)]
-    if len(byte) and byte.max() >= 0xE3:
+    runs = np.flatnonzero(gap[1:] & ~gap[:-1]) + 1
+    runs = np.concatenate([[0], runs]) if gap[0] else runs
+    before = byte[np.maximum(runs[: len(starts)] - 1, 0)]
+    sentence, clause = starts[SENTENCE_END[before]], starts[CLAUSE_END[before]]
+    if (byte >= 0xE3).any():
         wide = lambda marks: np.array([m.end() for m in re.finditer("|".join(marks).encode(), raw)], np.int64)
         sentence, clause = np.union1d(sentence, wide(WIDE_SENTENCE_END)), np.union1d(clause, wide(WIDE_CLAUSE_END))
-    return [*(np.array(p, np.int64) for p in places), sentence, clause, starts]
+    return [*(lines[level == k] for k in range(4)), sentence, clause, starts]
 
 
 class Text:
     """A text with its token places and, per level, the places (in tokens) where it may be cut."""
 
-    def __init__(self, text: str, vocabulary: str) -> None:
-        self.raw = text.encode("utf-8", "surrogatepass")
-        self.vocabulary = vocabulary
-        ids = np.array(encode(text, vocabulary), np.int64)
-        self.ends = np.concatenate([[0], np.cumsum(token_bytes(vocabulary)[ids])]) if len(ids) else np.zeros(1, np.int64)
-        self.n = len(ids)
-        byte = np.frombuffer(self.raw + b"\0", np.uint8)
-        whole = (byte[self.ends] & 0xC0) != 0x80  # not within a character
-        self.whole = np.flatnonzero(whole)
-        self.cuts: list[list[int]] = []
-        for places in boundaries(self.raw):
-            at = np.searchsorted(self.ends, places, side="right") - 1  # a blank belongs to the token that begins with it
-            at = at[(at > 0) & (at < self.n)]
-            at = at[whole[at]]
-            self.cuts.append(at[np.concatenate([[True], at[1:] > at[:-1]])].tolist() if len(at) else [])
-        self.cuts.append(self.whole[(self.whole > 0) & (self.whole < self.n)].tolist())
+    def __init__(self, raw: bytes, ends: np.ndarray, whole: np.ndarray, levels: list[np.ndarray], vocabulary: str) -> None:
+        self.raw, self.ends, self.n, self.vocabulary = raw, ends, len(ends) - 1, vocabulary
+        self.whole = np.flatnonzero(whole)  # places between characters
+        self._levels, self._lists = levels, {}
+
+    def cuts(self, level: int) -> list[int]:
+        if level not in self._lists:
+            places = self._levels[level] if level < CHARACTER else self.whole
+            self._lists[level] = places[(places > 0) & (places < self.n)].tolist()
+        return self._lists[level]
 
     def slice(self, begin: int, end: int) -> str:
         return self.raw[self.ends[begin] : self.ends[end]].decode("utf-8", "surrogatepass")
@@ -128,7 +137,8 @@ def _siblings(text: Text, fresh: int, room: int, capacity: int) -> tuple[int, in
     fits a piece, else the search descends into it. A character that alone passes ``room`` is taken whole.
     """
     at, best, following = fresh, CHARACTER, text.n
-    for level, cuts in enumerate(text.cuts):
+    for level in range(len(LEVELS)):
+        cuts = text.cuts(level)
         k = bisect_right(cuts, room)
         if k and cuts[k - 1] > at:
             at, best = cuts[k - 1], level
@@ -139,30 +149,61 @@ def _siblings(text: Text, fresh: int, room: int, capacity: int) -> tuple[int, in
     return (at, best) if at > fresh else (following, CHARACTER)
 
 
+def analysed(contents: list[str], vocabulary: str) -> list[Text]:
+    """The texts with their places; boundaries are found over all of them at once."""
+    raws = [c.encode("utf-8", "surrogatepass") for c in contents]
+    sizes = token_bytes(vocabulary)
+    ends = [np.concatenate([[0], np.cumsum(sizes[np.array(encode(c, vocabulary), np.int64)])]) for c in contents]
+    byte_at = np.cumsum([0, *(len(r) + 1 for r in raws)])
+    place_at = np.cumsum([0, *map(len, ends)])
+    joined = b"\n".join(raws) + b"\n"
+    at_byte = np.concatenate(ends) + np.repeat(byte_at[:-1], np.diff(place_at))
+    whole = (np.frombuffer(joined, np.uint8)[at_byte] & 0xC0) != 0x80
+    levels = []
+    for places in boundaries(joined):
+        at = np.searchsorted(at_byte, places, side="right") - 1  # a blank belongs to the token that begins with it
+        at = at[whole[at]]
+        at = at[np.concatenate([[True], at[1:] > at[:-1]])] if len(at) else at
+        levels.append((at, np.searchsorted(at, place_at)))
+    return [
+        Text(raws[i], ends[i], whole[place_at[i] : place_at[i + 1]], [at[cut[i] : cut[i + 1]] - place_at[i] for at, cut in levels], vocabulary)
+        for i in range(len(raws))
+    ]
+
+
 def _split(limits: list[tuple[int, int, int]], vocabulary: str) -> object:
     least = min((m for _, m, _ in limits), default=0)
 
+    def pieces_of(batch: pa.RecordBatch, origin: list[int], contents: list[str]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        source: list[int] = []
+        for i, text in zip(origin, analysed(contents, vocabulary), strict=True):
+            for limit_id, most, overlap in limits:
+                if text.n <= most:
+                    continue
+                last = 0
+                for no, (begin, end, boundary) in enumerate(pack(text, most, overlap), 1):
+                    rows.append((limit_id, no, end - begin, max(0, last - begin), boundary, text.slice(begin, end)))
+                    source.append(i)
+                    last = end
+        if rows:
+            yield _batch(batch, source, rows)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple] = []
-            origin: list[int] = []
+            origin, contents, held = [], [], 0
             for i, content in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
-                if content is None or len(content.encode("utf-8", "surrogatepass")) <= least:
-                    continue  # a token has one byte at least
-                text = Text(content, vocabulary)
-                for limit_id, most, overlap in limits:
-                    if text.n <= most:
-                        continue
-                    last = 0
-                    for no, (begin, end, boundary) in enumerate(pack(text, most, overlap), 1):
-                        rows.append((limit_id, no, end - begin, max(0, last - begin), boundary, text.slice(begin, end)))
-                        origin.append(i)
-                        last = end
-                if len(rows) > 2000:
-                    yield _batch(batch, origin, rows)
-                    rows, origin = [], []
-            if rows:
-                yield _batch(batch, origin, rows)
+                # a token has one byte at least, a code point four at most
+                if content is None or (len(content) * 4 <= least or len(content.encode("utf-8", "surrogatepass")) <= least):
+                    continue
+                origin.append(i)
+                contents.append(content)
+                held += len(content)
+                if held > TOGETHER:
+                    yield from pieces_of(batch, origin, contents)
+                    origin, contents, held = [], [], 0
+            if contents:
+                yield from pieces_of(batch, origin, contents)
 
     return run
 
