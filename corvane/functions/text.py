@@ -59,8 +59,13 @@ def ngrams(parts: Column, n: int) -> Column:
     """The distinct n-grams of an array, joined by blanks; a shorter array is one gram, an empty one has none."""
     if n < 1:
         raise ValueError("n must be at least 1")
+    # a one-element transform binds the array, so that the grams don't compute it anew one by one
+    return F.get(F.transform(F.array(parts), lambda p: _ngrams_of(p, n)), F.lit(0))
+
+
+def _ngrams_of(parts: Column, n: int) -> Column:
     last = F.size(parts) - (n - 1)
-    full = F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(parts, i, n), " "))
+    full = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(parts, i, n), " "))
     return F.when(F.size(parts) == 0, F.array().cast("array<string>")).when(last < 1, F.array(F.array_join(parts, " "))).otherwise(F.array_distinct(full))
 
 
