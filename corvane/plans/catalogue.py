@@ -34,8 +34,9 @@ def _norm_sql(c: str) -> str:
 
 
 def _grams(c: str, n: int) -> str:
-    """Distinct n-grams of a normalised text."""
-    return f"list_distinct(CASE WHEN {c} = '' THEN [] WHEN len(string_split({c}, ' ')) < {n} THEN [{c}] ELSE list_transform(range(1, len(string_split({c}, ' ')) - {n - 2}), lambda i: array_to_string(string_split({c}, ' ')[i:i + {n - 1}], ' ')) END)"
+    """Distinct n-grams of a normalised text; its words are bound once by a one-element list."""
+    own = f"list_transform(range(1, len(w) - {n - 2}), lambda i: array_to_string(w[i:i + {n - 1}], ' '))"
+    return f"list_transform([string_split({c}, ' ')], lambda w: list_distinct(CASE WHEN w = [''] THEN [] WHEN len(w) < {n} THEN [array_to_string(w, ' ')] ELSE {own} END))[1]"
 
 
 _TERMS = "list_filter(regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_full_match(w, '[a-z0-9_]+'))"
@@ -590,13 +591,13 @@ for _name, _text in STATEMENTS.items():
     QUERIES[_name], SQL[_name] = _statement(_text), _text
 
 
-@query("SELECT model_id, CAST(date_trunc('day', logged_at) AS TIMESTAMP) AS start, count(*) AS n, round(avg(latency_ms), 4) AS mean_latency, count(*) FILTER (finish_reason = 'length') AS n_cut FROM generation_result GROUP BY 1, 2")
+@query("SELECT model_id, CAST(date_trunc('day', logged_at) AS TIMESTAMP) AS start, count(*) AS n, max(latency_ms) AS max_latency, count(*) FILTER (finish_reason = 'length') AS n_cut FROM generation_result GROUP BY 1, 2")
 def stream_latency(spark: SparkSession, folder: str) -> DataFrame:
     from corvane.streaming import predictions
 
     name = "corvane_stream_latency"
     predictions.run_once(predictions.windowed_latency(predictions.prediction_stream(spark, f"{folder}/generation_result.parquet")), name)
-    return spark.table(name).withColumn("mean_latency", F.round("mean_latency", 4))
+    return spark.table(name).drop("mean_latency")
 
 
 def queries() -> dict[str, Query]:
