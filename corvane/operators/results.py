@@ -6,6 +6,7 @@ import threading
 import uuid
 from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
+from decimal import Decimal
 
 from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -130,6 +131,7 @@ def run_sql(spark: SparkSession, sql: str, timeout: float = 10.0, cap: int = ROW
 
 
 def _cell(v: object, digits: int) -> object:
+    v = float(v) if isinstance(v, Decimal) else v
     if isinstance(v, float):
         if v != v:
             return "nan"
