@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.llm.near_duplicates import seeded_min
 from corvane.llm.related import spanning_forest
 from corvane.llm.sql_reader import find_statement, only_literal, read, unfence
 from corvane.staging import stage
@@ -172,7 +173,7 @@ def opening_clusters(openings: DataFrame) -> DataFrame:
     words = F.split("opening", " ")
     grams = F.when(F.size(words) <= SHINGLE, F.array(F.xxhash64("opening"))).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(words) - SHINGLE + 1), lambda i: F.xxhash64(F.array_join(F.slice(words, i, SHINGLE), " ")))))
     shingled = openings.select("opening", grams.alias("g"))
-    mins = [F.array_min(F.transform("g", lambda x, r=r: F.xxhash64(x, F.lit(r)))) for r in range(BANDS * BAND_ROWS)]
+    mins = [seeded_min(F.col("g"), r) for r in range(BANDS * BAND_ROWS)]
     bands = F.array(*[F.xxhash64(F.lit(b), *mins[b * BAND_ROWS : (b + 1) * BAND_ROWS]) for b in range(BANDS)])
     keyed = stage(shingled.select("opening", "g", F.explode(F.array_distinct(bands)).alias("band")), "bands")
     other = keyed.select(F.col("opening").alias("b"), F.col("g").alias("h"), "band")

@@ -72,9 +72,13 @@ def rarest_first(classes: DataFrame) -> DataFrame:
     return classes.join(ranked.groupBy("cls").agg(order.alias("s")), "cls")
 
 
+def seeded_min(values: Column, seed: int) -> Column:
+    """The least seeded hash of an array's values: one MinHash."""
+    return F.array_min(F.transform(values, lambda w: F.xxhash64(w, F.lit(seed))))
+
+
 def _half(words: Column, side: int, i: int) -> Column:
-    values = [F.array_min(F.transform(words, lambda w, r=r: F.xxhash64(w, F.lit(side * 10_000 + i * 100 + r)))) for r in range(ROWS)]
-    return F.xxhash64(*values, F.lit(side * 10_000 + i))
+    return F.xxhash64(*[seeded_min(words, side * 10_000 + i * 100 + r) for r in range(ROWS)], F.lit(side * 10_000 + i))
 
 
 def table_keys(ranked: DataFrame, t: Fraction, payload: list[str]) -> DataFrame:

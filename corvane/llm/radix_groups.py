@@ -4,22 +4,24 @@
    one entry.
 2. The entries are partitioned by their leading bytes. Buckets larger than their share are split by further
    bytes, again and again, until each fits; what can't be split further is a single key. At most
-   ``target_buckets`` buckets are oversized at any depth, whatever the data's size, so the list that the
-   driver keeps and the tasks read is bounded.
+   ``target_buckets`` buckets are oversized in any round, whatever the data's size, so the list of splits that
+   the driver keeps and the tasks read is bounded.
 3. Each bucket is counted in one trie with terminal counters, bucket after bucket within a task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import os
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import PandasUDFType
 
 from corvane.staging import stage
 
-#: Bytes of the first partitioning and those added at each split.
+#: Bytes of the first partitioning and those added by the first split.
 FIRST_BYTES, MORE_BYTES = 2, 4
 #: Keys a task's trie holds before it hands them on.
 TRIE_KEYS = 200_000
@@ -128,31 +130,46 @@ def _count_buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield _frame(trie)
 
 
+def _bucket_of(key: bytes, splits: dict[bytes, int]) -> bytes:
+    prefix = key[:FIRST_BYTES]
+    while (depth := splits.get(prefix)) is not None:
+        prefix = key[:depth]
+    return prefix
+
+
+def _assign(splits: dict[bytes, int]) -> Callable[[Iterator[pd.Series]], Iterator[pd.Series]]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for keys in batches:
+            yield keys.map(lambda k: _bucket_of(bytes(k), splits))
+
+    return run
+
+
+def _bucket_column(splits: dict[bytes, int]) -> Column:
+    if not splits:
+        return F.substring("key", 1, FIRST_BYTES)
+    return F.pandas_udf(_assign(splits), "binary", PandasUDFType.SCALAR_ITER)("key")
+
+
 def radix_buckets(entries: DataFrame, target_buckets: int = 256) -> DataFrame:
     """Add ``bucket`` (binary): the leading bytes of ``key`` at the depth where its bucket fits.
 
-    A bucket fits with at most 1/``target_buckets`` of the entries. ``entries`` must be a written table.
+    A bucket fits with at most 1/``target_buckets`` of the entries, or if it holds one key only. A larger one is
+    split behind the bytes that all its keys share, by twice as many bytes in each round, so the number of rounds
+    grows with the logarithm of the longest key. ``entries`` must be a written table.
     """
-    total = entries.count()
-    fits = max(1, -(-total // target_buckets))
-    depth, active, oversized = FIRST_BYTES, None, {}
+    fits = max(1, -(-entries.count() // target_buckets))
+    splits: dict[bytes, int] = {}
+    more = MORE_BYTES
     while True:
-        prefix = F.substring("key", 1, depth)
-        rows = entries if active is None else entries.join(F.broadcast(active), F.substring("key", 1, depth - MORE_BYTES) == F.col("_p"), "left_semi")
-        counts = rows.groupBy(prefix.alias("_p")).agg(F.count(F.lit(1)).alias("c"), F.count_if(F.length("key") > depth).alias("longer"))
-        large = [bytes(r["_p"]) for r in counts.where((F.col("c") > fits) & (F.col("longer") > 0)).select("_p").collect()]
+        counts = entries.select("key", _bucket_column(splits).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.min("key").alias("first"), F.max("key").alias("last"))
+        large = counts.where((F.col("c") > fits) & (F.col("first") != F.col("last"))).select("bucket", "first", "last").collect()
         if not large:
-            break
-        oversized[depth] = large
-        active = entries.sparkSession.createDataFrame([(x,) for x in large], "_p binary")
-        depth += MORE_BYTES
-    bucket = F.substring("key", 1, FIRST_BYTES)
-    out = entries.withColumn("bucket", bucket)
-    for d, large in oversized.items():
-        deeper = entries.sparkSession.createDataFrame([(x,) for x in large], "_o binary").withColumn("_hit", F.lit(True))
-        out = out.join(F.broadcast(deeper), F.col("bucket") == F.col("_o"), "left").drop("_o")
-        out = out.withColumn("bucket", F.when(F.col("_hit"), F.substring("key", 1, d + MORE_BYTES)).otherwise(F.col("bucket"))).drop("_hit")
-    return out
+            return entries.withColumn("bucket", _bucket_column(splits))
+        for r in large:
+            shared = len(os.path.commonprefix([bytes(r["first"]), bytes(r["last"])]))
+            splits[bytes(r["bucket"])] = max(shared, len(r["bucket"])) + more
+        more *= 2
 
 
 def count_copies(keyed: DataFrame, target_buckets: int = 256) -> DataFrame:

@@ -404,6 +404,8 @@ def read(text: str) -> str:
         return "broken"
     except Foreign:
         return "broken" if reader.last_begins(*CONTINUE) else "foreign"
+    except RecursionError:  # nested too deep to follow: judged by its brackets alone
+        return "complete" if text.count("(") == text.count(")") else "broken"
     token = reader.peek()
     if token == ";":
         return "complete"
