@@ -11,8 +11,8 @@ k * (k - 1) / 2 keys, and two records meet in a table only if they share both ha
   hashes. At a similarity of exactly 0.7 a pair is found with a probability of over 0.999.
 
 Keys shared by more than ``HOT`` records are split by the pair of text lengths that may meet there, under
-which the sketches are as short as that pair allows; that too loses no pair. Each pair is verified exactly, in
-the join, at the one key that is its first.
+which the sketches are as short as that pair allows; that too loses no pair. Each candidate pair is verified
+exactly.
 """
 
 from __future__ import annotations
@@ -62,14 +62,14 @@ def text_classes(records: DataFrame, key: list[str], texts: list[str]) -> DataFr
 
 
 def rarest_first(classes: DataFrame) -> DataFrame:
-    """Add ``s``: the words of ``w0``, rare words first. Frequencies count every class of the partition."""
+    """(cls, s): the words of ``w0``, rare words first. Frequencies count every class of the partition."""
     word = F.explode("w0").alias("w")
     df = classes.select(word).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
     floor = max(2, classes.count() // FREQUENT)
     frequent = stage(df.where(F.col("df") >= floor), "frequent")
     ranked = classes.select("cls", word).join(F.broadcast(frequent), "w", "left")
     order = F.transform(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), F.col("w")))), lambda x: x["w"])
-    return classes.join(ranked.groupBy("cls").agg(order.alias("s")), "cls")
+    return ranked.groupBy("cls").agg(order.alias("s"))
 
 
 def seeded_min(values: Column, seed: int) -> Column:
@@ -81,52 +81,68 @@ def _half(words: Column, side: int, i: int) -> Column:
     return F.xxhash64(*[seeded_min(words, side * 10_000 + i * 100 + r) for r in range(ROWS)], F.lit(side * 10_000 + i))
 
 
-def table_keys(ranked: DataFrame, t: Fraction, payload: list[str]) -> DataFrame:
-    """(key, cls, n, pre, *payload): one row per table key. ``pre`` is the sketch of a short text, null for MinHash keys."""
+def table_keys(ranked: DataFrame, t: Fraction) -> DataFrame:
+    """(key, cls, n, j): one row per table key of each class (cls, s). ``j`` is the place of the key's second word
+    in a short text's sketch, null for the MinHash keys of long texts. Keys that only one class has are dropped."""
     n = F.size("s")
     k = F.least(n, n - _ceil_of(t, n) + 2)
     most = int(LONG / t)  # a text of LONG words may meet one of that many
-    sketch = F.slice("s", 1, k)
-    short = ranked.where((n > 1) & (n <= most)).withColumn("n", n).withColumn("pre", sketch)
+    short = ranked.where((n > 1) & (n <= most)).select("cls", n.alias("n"), F.slice("s", 1, k).alias("pre"))
     place = F.sequence(F.lit(1), F.size("pre") - 1)
-    pairs = F.flatten(F.transform(place, lambda i: F.transform(F.slice("pre", i + 1, F.size("pre")), lambda y: F.struct(F.xxhash64(F.element_at("pre", i), y).alias("key"), i.cast("int").alias("i"), F.array_position("pre", y).cast("int").alias("j")))))
-    short = short.withColumn("p", F.explode(pairs)).select("p.key", "p.i", "p.j", "cls", "n", "pre", *payload)
-    hot = stage(short.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > HOT).select("key", F.lit(True).alias("hot")), "hot")
-    marked = short.join(hot, "key", "left")
-    low, high = _ceil_of(t, F.col("n")), F.floor(F.col("n") * F.lit(t.denominator) / F.lit(t.numerator)).cast("int")
-    partner = marked.where("hot").withColumn("m", F.explode(F.sequence(low, high)))
-    fits = F.col("j") <= F.col("n") - _overlap_least(t, F.col("n"), F.col("m")) + 2
-    split = partner.where(fits).withColumn("key", F.xxhash64("key", F.least("n", "m"), F.greatest("n", "m")))
-    # of a split key's rows, the shorter side meets the longer one; equal lengths meet in their own key
-    cool = marked.where("hot is null").withColumn("m", F.lit(None).cast("int"))
-    keep = ["key", "cls", "n", "m", "pre", *payload]
-    out = cool.select(*keep).unionByName(split.select(*keep))
-    long = ranked.where(n > LONG).withColumn("n", n)
+    pairs = F.flatten(F.transform(place, lambda i: F.transform(F.slice("pre", i + 1, F.size("pre")), lambda y, d: F.struct(F.xxhash64(F.element_at("pre", i), y).alias("key"), (i + d + 1).cast("int").alias("j")))))
+    short = short.select("cls", "n", F.inline(pairs))
+    long = ranked.where(n > LONG)
     halves = [F.array(*[_half(F.col("s"), side, i) for i in range(HALVES)]).alias(f"h{side}") for side in (0, 1)]
-    tensor = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(HALVES)), lambda i: F.transform(F.sequence(F.lit(1), F.lit(HALVES)), lambda j: F.xxhash64(F.element_at("h0", i), F.element_at("h1", j), i, j)))))
-    long = long.select("cls", "n", *payload, *halves).select("cls", "n", *payload, F.explode(tensor).alias("key"))
-    empty = F.lit(None)
-    return out.unionByName(long.select("key", "cls", "n", empty.cast("int").alias("m"), empty.cast("array<bigint>").alias("pre"), *payload))
+    places = F.sequence(F.lit(1), F.lit(HALVES))
+    tensor = F.array_distinct(F.flatten(F.transform(places, lambda i: F.transform(places, lambda j: F.xxhash64(F.element_at("h0", i), F.element_at("h1", j), i, j)))))
+    long = long.select("cls", n.alias("n"), *halves).select("cls", "n", F.explode(tensor).alias("key"))
+    every = stage(short.select("key", "cls", "n", "j").unionByName(long.select("key", "cls", "n", F.lit(None).cast("int").alias("j"))), "keys")
+    counts = every.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    return every.join(counts, "key")
+
+
+def split_hot(keys: DataFrame, t: Fraction) -> DataFrame:
+    """``keys`` with those of more than HOT classes split by the lengths (n, m) that may meet there.
+
+    A row stands in the part of each length m its partner may have, if its second word is still in the sketch that
+    this length asks for; MinHash keys are only split by length.
+    """
+    cool = keys.where(F.col("c") <= HOT).select("key", "cls", "n", "j", F.lit(None).cast("int").alias("m"))
+    low, high = _ceil_of(t, F.col("n")), F.floor(F.col("n") * F.lit(t.denominator) / F.lit(t.numerator)).cast("int")
+    parts = keys.where(F.col("c") > HOT).withColumn("m", F.explode(F.sequence(low, high)))
+    parts = parts.where(F.col("j").isNull() | (F.col("j") <= F.col("n") - _overlap_least(t, F.col("n"), F.col("m")) + 2))
+    split = F.xxhash64("key", F.least("n", "m"), F.greatest("n", "m"))
+    return cool.unionByName(parts.select(split.alias("key"), "cls", "n", "j", "m"))
+
+
+def candidates(keys: DataFrame, t: Fraction) -> DataFrame:
+    """(a, b), a < b: distinct pairs of classes that meet in a table and can still reach ``t``.
+
+    Two texts that share their first two words at places j and j' share at most 2 + min(n - j, n' - j') words; pairs
+    that this rules out at their first key can't be similar, so any key may drop them.
+    """
+    side = lambda x: keys.select("key", *[F.col(c).alias(f"{x}_{c}") for c in ("cls", "n", "j", "m")])
+    met = side("a").join(side("b"), "key").where("a_cls < b_cls")
+    met = met.where(F.col("a_m").isNull() | (F.col("a_m") == F.col("b_n")))
+    met = met.where((F.col("a_n") * t.denominator >= F.col("b_n") * t.numerator) & (F.col("b_n") * t.denominator >= F.col("a_n") * t.numerator))
+    reach = 2 + F.least(F.col("a_n") - F.col("a_j"), F.col("b_n") - F.col("b_j"))
+    met = met.where(F.coalesce(reach >= _overlap_least(t, F.col("a_n"), F.col("b_n")), F.col("a_j").isNull() & F.col("b_j").isNull()))
+    return met.select(F.col("a_cls").alias("a"), F.col("b_cls").alias("b")).distinct()
 
 
 def class_pairs(classes: DataFrame, t: Fraction, sets: list[str]) -> DataFrame:
     """(a, b) with a < b: pairs of classes whose sets all reach ``t``; ``sets[0]`` must be ``w0``.
 
-    ``classes``: written table (cls, *sets), one row per class.
+    ``classes``: written table (cls, *sets), one row per class. Table keys travel without the sets, which join the
+    candidate pairs for their verification.
     """
-    keys = stage(table_keys(rarest_first(classes), t, sets), "keys")
-    left = keys.select("key", *[F.col(c).alias(f"a_{c}") for c in ("cls", "n", "m", "pre", *sets)])
-    right = keys.select("key", *[F.col(c).alias(f"b_{c}") for c in ("cls", "n", "m", "pre", *sets)])
-    common = F.array_intersect("a_pre", "b_pre")
-    first = F.xxhash64(F.element_at(common, 1), F.element_at(common, 2))
-    split = F.xxhash64(first, F.least("a_n", "b_n"), F.greatest("a_n", "b_n"))
-    both_short = F.col("a_pre").isNotNull() & F.col("b_pre").isNotNull()
-    at_first = F.when(both_short, (F.size(common) >= 2) & F.when(F.col("a_m").isNull(), F.col("key") == first).otherwise(F.col("key") == split)).otherwise(F.col("a_pre").isNull() & F.col("b_pre").isNull())
-    lengths = (F.col("a_n") * t.denominator >= F.col("b_n") * t.numerator) & (F.col("b_n") * t.denominator >= F.col("a_n") * t.numerator)
-    joined = left.join(right, "key").where((F.col("a_cls") < F.col("b_cls")) & lengths & at_first)
+    met = candidates(split_hot(table_keys(rarest_first(classes), t), t), t)
+    left = classes.select(F.col("cls").alias("a"), *[F.col(c).alias(f"a_{c}") for c in sets])
+    right = classes.select(F.col("cls").alias("b"), *[F.col(c).alias(f"b_{c}") for c in sets])
+    joined = met.join(left, "a").join(right, "b")
     for c in sets:
         joined = joined.where(similar(F.col(f"a_{c}"), F.col(f"b_{c}"), t))
-    return joined.select(F.col("a_cls").alias("a"), F.col("b_cls").alias("b")).distinct()
+    return joined.select("a", "b")
 
 
 def similar_pairs(records: DataFrame, key: str, texts: list[str], threshold: str = "0.7") -> DataFrame:
