@@ -78,3 +78,34 @@ def test_stream(spark, tmp_path):
     predictions.run_once(predictions.windowed_latency(predictions.prediction_stream(spark, str(tmp_path / "in"))), "t_stream")
     got = spark.table("t_stream").first()
     assert (got["n"], got["mean_latency"], got["n_cut"]) == (1, 2.0, 1)
+
+
+def test_databases_and_config(spark, tmp_path):
+    from corvane.operators import prompts
+    from corvane.sources import databases
+
+    columns = databases.built_in_columns(spark)
+    assert columns.count() == 40 and columns.where("foreign_table is not null").count() == 5
+    assert "invoices : invoice_id (INTEGER, PK) | subscription_id (INTEGER, FK->subscriptions.subscription_id)" in prompts.compact(columns).first()["schema_text"]
+    spark.range(2).write.parquet(str(tmp_path / "database" / "d" / "two.parquet"))
+    folder = databases.database_folder("d", [str(tmp_path / "none"), str(tmp_path)])
+    assert databases.register_database(spark, folder) == ["two"] and spark.table("two").count() == 2
+    assert databases.database_folder("e", [str(tmp_path)]) is None
+    (tmp_path / "c.json").write_text('{"a": 1}')
+    assert databases.load_config(str(tmp_path / "c.json")) == {"a": 1}
+    (tmp_path / "l.json").write_text("[1]")
+    with pytest.raises(ValueError, match="no mapping"):
+        databases.load_config(str(tmp_path / "l.json"))
+
+
+def test_cli(spark, tmp_path, capsys):
+    from corvane import cli
+
+    assert cli.main(["queries"]) == 0 and "fuzzy_overlap" in capsys.readouterr().out
+    spark.range(3).write.parquet(str(tmp_path / "t.parquet"))
+    assert cli.main(["sql", str(tmp_path), "select count(*) from t"]) == 0 and "3" in capsys.readouterr().out
+    assert cli.main(["sql", str(tmp_path), "select from"]) == 1
+    rows = spark.createDataFrame([("a", "q one", "d", "select 1", "train")], "id string, question string, db_id string, gold_sql string, split string")
+    rows.write.parquet(str(tmp_path / "x.parquet"))
+    assert cli.main(["audit", str(tmp_path / "x.parquet"), str(tmp_path / "x.parquet")]) == 1
+    assert cli.main(["sample", str(tmp_path / "x.parquet"), str(tmp_path / "out"), "--sizes", "1"]) == 0
