@@ -69,6 +69,14 @@ def _ngrams_of(parts: Column, n: int) -> Column:
     return F.when(F.size(parts) == 0, F.array().cast("array<string>")).when(last < 1, F.array(F.array_join(parts, " "))).otherwise(F.array_distinct(full))
 
 
+def gram_hashes(parts: Column, n: int) -> Column:
+    """``ngrams`` as 64-bit hashes, without making the grams' strings."""
+    hashed = F.transform(parts, lambda w: F.xxhash64(w))
+    last = lambda p: F.greatest(F.size(p) - (n - 1), F.lit(1))
+    full = lambda p: F.array_distinct(F.transform(F.sequence(F.lit(1), last(p)), lambda i: F.xxhash64(F.slice(p, i, n))))
+    return F.get(F.transform(F.array(hashed), lambda p: F.when(F.size(p) == 0, F.array().cast("array<bigint>")).otherwise(full(p))), F.lit(0))
+
+
 def jaccard(a: Column, b: Column, n: int = 4, char_level: bool = False) -> Column:
     """n-gram Jaccard of two normalised texts: 1 if they are equal, 0 if one is empty."""
     cut = chars if char_level else tokens
@@ -80,8 +88,7 @@ def jaccard(a: Column, b: Column, n: int = 4, char_level: bool = False) -> Colum
 
 def search_terms(text: Column) -> Column:
     """Terms for ranking: of the lower-cased runs of letters, digits and underscores those that are ASCII."""
-    runs = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-    return F.filter(runs, lambda w: w.rlike("^[a-z0-9_]+$"))
+    return F.regexp_extract_all(F.lower(text), F.lit(r"(?<![\p{L}\p{N}_])[a-z0-9_]++(?![\p{L}\p{N}_])"), F.lit(0))
 
 
 def token_estimate(text: Column) -> Column:

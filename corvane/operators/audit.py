@@ -12,7 +12,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.functions.text import ngrams, normalize_question, normalize_sql, tokens
+from corvane.functions.text import gram_hashes, normalize_question, normalize_sql, tokens
 from corvane.staging import stage
 
 
@@ -35,7 +35,7 @@ def gram_sets(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
     """(id, norm, grams): the normalised text and its distinct n-grams as hashes; texts without grams are left out."""
     norm = normalize_question(F.col(text))
     out = df.select(F.col(key).alias("id"), norm.alias("norm")).where("norm <> '' and id is not null").distinct()
-    return out.withColumn("grams", F.transform(ngrams(tokens(F.col("norm")), n), lambda g: F.xxhash64(g)))
+    return out.withColumn("grams", gram_hashes(tokens(F.col("norm")), n))
 
 
 def ngram_overlap(documents: DataFrame, passages: DataFrame, n: int = 8, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
