@@ -214,10 +214,17 @@ def error_breakdown(scores: DataFrame, anomaly: str = "anomaly") -> DataFrame:
 
 def nearest_rank(df: DataFrame, groups: list[str], value: str) -> DataFrame:
     """(groups, n, p50, p95): the upper median sorted[n // 2] and sorted[ceil(0.95 n) - 1] of the non-null values;
-    groups without values get 0. Values are counted first, so a large group sends its distinct values only."""
-    counts = df.groupBy(*groups, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
-    known = counts.where("_v is not null").withColumn("_all", F.sum("_n").over(w)).withColumn("_run", F.sum("_n").over(w.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)))
+    groups without values get 0. Values are counted first; their running counts are summed over range partitions, so
+    no task holds a group."""
+    from corvane.operators.running import running_sums
+
+    counts = df.where(F.col(value).isNotNull()).groupBy(*groups, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    run = running_sums(counts, ["_v"], "_n", groups, "_run")
+    totals = run.groupBy(*[F.col(g).alias(f"_t{i}") for i, g in enumerate(groups)]).agg(F.sum("_n").alias("_all"))
+    of_group = F.lit(True)
+    for i, g in enumerate(groups):
+        of_group = of_group & F.col(g).eqNullSafe(F.col(f"_t{i}"))
+    known = run.join(totals, of_group) if groups else run.crossJoin(totals)  # without groups totals is one row
     at = lambda rank: F.min(F.when(F.col("_run") >= rank, F.col("_v")))
     found = known.groupBy(*groups).agg(F.max("_all").alias("n"), at(F.floor(F.col("_all") / 2) + 1).alias("p50"), at(F.ceil(F.col("_all") * 0.95)).alias("p95"))
     if not groups:
