@@ -38,8 +38,9 @@ def spanning_forest(vertices: DataFrame, edges: DataFrame) -> tuple[DataFrame, D
         mutual = (F.col("oo") == F.col("c")) & (F.col("c") < F.col("o"))
         jump = stage(best.join(other, "o").select("c", F.when(mutual, F.col("c")).otherwise(F.col("o")).alias("p")), "parents")
         while True:
-            up = jump.select(F.col("c").alias("p"), F.col("p").alias("pp"))
-            nxt = stage(jump.join(up, "p").select("c", F.col("pp").alias("p"), (F.col("p") != F.col("pp")).alias("moved")), "parents")
+            up = jump.select(F.col("c").alias("p"), F.col("p").alias("p2"))
+            upper = jump.select(F.col("c").alias("p2"), F.col("p").alias("p3"))
+            nxt = stage(jump.join(up, "p").join(upper, "p2").select("c", F.col("p3").alias("p"), (F.col("p2") != F.col("p3")).alias("moved")), "parents")
             jump = nxt.select("c", "p")
             if nxt.where("moved").isEmpty():
                 break
