@@ -106,6 +106,8 @@ def test_nearest_rank_and_last_record(spark):
     rows = spark.createDataFrame([("m", float(v)) for v in range(1, 11)] + [("n", None), (None, 4.0), (None, 4.0)], "model string, v double")
     got = {r["model"]: (r["n"], r["p50"], r["p95"]) for r in results.nearest_rank(rows, ["model"], "v").collect()}
     assert got == {"m": (10, 6.0, 10.0), "n": (0, 0.0, 0.0), None: (2, 4.0, 4.0)}
+    assert tuple(results.nearest_rank(rows, [], "v").first()) == (12, 5.0, 10.0)
+    assert tuple(results.nearest_rank(rows.limit(0), [], "v").first()) == (0, 0.0, 0.0)
     log = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 1, None)], "k string, pos int, v string")
     assert {tuple(r) for r in results.last_predictions(log, "k", ["pos"]).collect()} == {("a", 2, "y"), ("b", 1, None)}
 
