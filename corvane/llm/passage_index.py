@@ -2,9 +2,9 @@
 
 The index is partitioned by document: each task turns its documents into the postings (term -> positions) of
 one shard per batch and writes them; positions are global to the shard, documents are set apart by a gap.
-Terms are those of the evaluation texts, and postings are kept where they can matter: in runs of at least
-``span`` consecutive such terms, since a shared passage is a run of that kind. Corpus frequencies of the terms
-are then summed over all shards, and every window of ``span`` words of an evaluation text is answered from its
+Terms are those of the evaluation texts. For phrases alone, postings are kept in runs of at least ``span``
+consecutive such terms, since a shared passage is a run of that kind; for proximity, all postings are kept, since
+an edited word may break the run. Corpus frequencies of the terms are then summed over all shards, and every window of ``span`` words of an evaluation text is answered from its
 rarest term: its positions, shifted to the window's start, are intersected with the shifted positions of the
 next rarest term, and so on. What is left after the last term are exact phrase matches. No text or posting
 is shuffled; only term counts and matches are.
@@ -60,17 +60,19 @@ def _pack(**arrays: np.ndarray) -> bytes:
     return out.getvalue()
 
 
-def _post(vocabulary: dict[str, int], span: int) -> object:
-    """Postings of the task's documents: one row per shard."""
+def _post(vocabulary: dict[str, int], span: int, slop: int) -> object:
+    """Postings of the task's documents: one row per shard. No window reaches over the gap between two documents."""
 
     def shard(ids: list[int], coded: list[np.ndarray]) -> pa.RecordBatch:
         lengths = np.array([len(c) for c in coded], np.int64)
-        starts = np.concatenate([[0], np.cumsum(lengths + span)[:-1]]).astype(np.int64)
+        starts = np.concatenate([[0], np.cumsum(lengths + span + slop)[:-1]]).astype(np.int64)
         flat = np.concatenate(coded)
         at = np.arange(len(flat)) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
-        padded = np.full(int(starts[-1] + lengths[-1]) if len(lengths) else 0, -1, np.int32)
-        padded[at] = flat
-        kept = _runs(padded >= 0, span)[at]
+        kept = flat >= 0
+        if not slop:
+            padded = np.zeros(int(starts[-1] + lengths[-1]) if len(lengths) else 0, bool)
+            padded[at] = kept
+            kept = _runs(padded, span)[at]
         terms, positions = flat[kept], at[kept]
         order = np.argsort(terms, kind="stable")
         terms, positions = terms[order], positions[order]
@@ -128,6 +130,32 @@ class Windows:
             setattr(self, name, getattr(self, name)[possible])
 
 
+def _offsets(term_at: np.ndarray, anchor: np.ndarray, term: np.ndarray, gap: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray]:
+    """Least and greatest offset from ``anchor``, on the side of ``gap`` and within ``slop`` of it, at which the term
+    stands. Where it doesn't, the least is greater than the greatest."""
+    low, high = np.full(len(anchor), np.iinfo(np.int32).max, np.int32), np.full(len(anchor), np.iinfo(np.int32).min, np.int32)
+    for d in range(-slop, slop + 1):
+        offset = gap + d
+        hit = np.flatnonzero((term_at[anchor + offset] == term) & (offset * gap > 0))
+        low[hit], high[hit] = np.minimum(low[hit], offset[hit]), offset[hit]
+    return low, high
+
+
+def _near(term_at: np.ndarray, anchor: np.ndarray, rare: np.ndarray, slop: int) -> np.ndarray:
+    """Indices of the anchors around which the words of ``rare`` (rows: up to three terms, then the gaps of all but the
+    first) stand in order, each at most ``slop`` words out of its place."""
+    m = (rare.shape[1] + 1) // 2
+    left, ends = np.arange(len(anchor)), []
+    for k in range(1, m):
+        low, high = _offsets(term_at, anchor[left], rare[left, k], rare[left, m + k - 1], slop)
+        found = low <= high
+        left, ends = left[found], [(a[found], b[found]) for a, b in [*ends, (low, high)]]
+    if m == 3:
+        (low1, high1), (low2, high2) = ends
+        left = left[np.where(rare[left, 3] < rare[left, 4], low1 < high2, low2 < high1)]
+    return left
+
+
 def _search(windows: Windows, span: int, slop: int) -> object:
     """Matches of the windows in the task's shards: phrase matches, merged to spans; proximity matches if slop > 0."""
 
@@ -143,6 +171,15 @@ def _search(windows: Windows, span: int, slop: int) -> object:
         size = at[end - 1] - at[begin] + width if len(begin) else np.zeros(0, np.int64)
         return pa.RecordBatch.from_pydict({"doc_id": ids[doc[begin]], "item_id": item[begin], "match_type": pa.array([kind] * len(begin), pa.string()), "n_words": size.astype(np.int64), "doc_word": (at[begin] - starts[doc[begin]]).astype(np.int64), "item_word": first[begin].astype(np.int64)})
 
+    # neighbouring windows mostly share their rarest words: each such set is looked up once
+    m = min(3, span)
+    rare, group = np.unique(np.hstack([windows.terms[:, :m], windows.shift[:, 1:m] - windows.shift[:, :1]]), axis=0, return_inverse=True) if slop else (windows.terms, np.zeros(0, np.int64))
+    members = np.argsort(group.reshape(-1), kind="stable")
+    sizes = np.bincount(group.reshape(-1), minlength=len(rare))
+    first_member = np.cumsum(sizes) - sizes
+    # no word that is looked up lies further from its anchor
+    reach = span + slop
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for blob in batch.column(0).to_pylist():
@@ -153,43 +190,43 @@ def _search(windows: Windows, span: int, slop: int) -> object:
                 ends = np.cumsum(counts)
                 begin = ends - counts
                 # the inverse of the postings: membership of a shifted position in a term's list is one look-up
-                term_at = np.full(int(positions.max()) + 2 * span + 1, -1, np.int32)
-                term_at[positions] = np.repeat(names, counts)
-                rarest = windows.terms[:, 0]
+                term_at = np.full(int(positions.max()) + 2 * reach + 1, -1, np.int32)
+                term_at[positions + reach] = np.repeat(names, counts)
+                rarest = rare[:, 0]
                 slot = np.minimum(np.searchsorted(names, rarest), len(names) - 1)
                 have = np.flatnonzero(names[slot] == rarest)
                 width = counts[slot[have]]
-                total = np.cumsum(width)
+                total = np.cumsum(width, dtype=np.int64)
                 done = 0
+                phrases, places = [], []
                 while done < len(have):
                     upto = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + AT_ONCE, side="right")))
                     w, lists = width[done:upto].astype(np.int64), slot[have[done:upto]]
                     window = np.repeat(have[done:upto], w)
                     offset = np.arange(len(window)) - np.repeat(np.cumsum(w) - w, w)
                     anchor = positions[np.repeat(begin[lists], w) + offset].astype(np.int64)
+                    done = upto
+                    if slop:
+                        near = _near(term_at, anchor + reach, rare[window], slop)
+                        window, anchor = window[near], anchor[near]
+                        many = sizes[window]
+                        offset = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+                        window, anchor = members[np.repeat(first_member[window], many) + offset], np.repeat(anchor, many)
                     at = anchor - windows.shift[window, 0]
+                    if slop:
+                        places.append((window, np.maximum(at, starts[np.searchsorted(starts, anchor, side="right") - 1])))
                     inside = at >= 0
                     phrase, start = window[inside], at[inside]
                     for k in range(1, span):
                         if not len(phrase):
                             break
-                        same = term_at[start + windows.shift[phrase, k]] == windows.terms[phrase, k]
+                        same = term_at[start + windows.shift[phrase, k] + reach] == windows.terms[phrase, k]
                         phrase, start = phrase[same], start[same]
-                    if len(phrase):
-                        yield spans("phrase", ids, starts, phrase, start, span)
-                    if slop:
-                        near = np.ones(len(window), bool)
-                        for k in range(1, min(3, span)):
-                            gap = windows.shift[window, k] - windows.shift[window, 0]
-                            hit = np.zeros(len(window), bool)
-                            for d in range(-slop, slop + 1):
-                                p = anchor + gap + d
-                                good = (p >= 0) & (p < len(term_at)) & (np.sign(gap + d) == np.sign(gap))
-                                hit[good] |= term_at[p[good]] == windows.terms[window[good], k]
-                            near &= hit
-                        if near.any():
-                            yield spans("proximity", ids, starts, window[near], np.maximum(at[near], starts[np.searchsorted(starts, anchor[near], side="right") - 1]), span)
-                    done = upto
+                    phrases.append((phrase, start))
+                # runs are merged over all parts of the shard
+                for kind, hits in (("phrase", phrases), ("proximity", places)):
+                    if any(len(h[0]) for h in hits):
+                        yield spans(kind, ids, starts, *(np.concatenate(x) for x in zip(*hits, strict=True)), span)
 
     return run
 
@@ -219,7 +256,7 @@ def _block_matches(documents: DataFrame, texts: list[tuple[int, list[str]]], spa
     vocabulary = {w: i for i, w in enumerate(sorted({w for _, words in texts for w in words}))}
     coded = [(k, np.array([vocabulary[w] for w in words], np.int32)) for k, words in texts]
     docs = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    index = stage(docs.mapInArrow(_post(vocabulary, span), SHARD), "postings")
+    index = stage(docs.mapInArrow(_post(vocabulary, span, slop), SHARD), "postings")
     counts = np.zeros(len(vocabulary) + 1, np.int64)
     for r in index.select("terms").mapInArrow(_count_terms, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect():
         counts[r["term"]] = r["n"]

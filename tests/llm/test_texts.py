@@ -1,9 +1,11 @@
 """Broken pairs, passages, percentiles, samples, mixtures and pieces."""
 
 import datetime as dt
+import itertools
 import math
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -96,6 +98,39 @@ def test_passages_against_all_windows(spark, monkeypatch):
     assert passage_index.leaked_items(frame.limit(0), passages).count() == passage_index.leaked_items(frame, passages.limit(0)).count() == 0
 
 
+def test_proximity_of_edited_passages_against_all_places(spark, monkeypatch):
+    rng = random.Random(21)
+    say = lambda n, prefix: [f"{prefix}{min(rng.randrange(60), rng.randrange(60))}" for _ in range(n)]
+    items = [(i, say(rng.randint(12, 30), "w")) for i in range(12)]
+    docs = []
+    for d in range(60):
+        _, source = rng.choice(items)
+        quoted = source[:]
+        for k in range(rng.randint(3, 6), len(quoted), 6):  # no run of 12 known words is left
+            quoted[k : k + rng.randint(0, 1)] = say(1, "typo")
+        docs.append((d, say(rng.randint(0, 9), "x") + rng.choice([quoted, quoted[::-1], source, source[: len(source) // 2]]) + say(rng.randint(0, 9), "w")))
+    docs = [(d, w) for d, w in docs if len(w) >= 12]
+    counts, slop = Counter(w for _, words in docs for w in words), 3
+    want = set()
+    for (d, words), (i, told) in itertools.product(docs, items):
+        for f in range(len(told) - 11):
+            s = sorted(range(12), key=lambda k: counts[told[f + k]])[:3]
+            at = [[p for p, w in enumerate(words) if w == told[f + k]] for k in s]
+            for p in itertools.product(*at):
+                ordered = all((p[x] < p[y]) == (s[x] < s[y]) and p[x] != p[y] for x, y in ((0, 1), (0, 2), (1, 2)))
+                if ordered and all(abs(p[k] - p[0] - s[k] + s[0]) <= slop for k in (1, 2)):
+                    want.add((d, i))
+    frame = spark.createDataFrame([(d, " ".join(w)) for d, w in docs], "doc_id bigint, text string").repartition(2)
+    passages = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id bigint, text string")
+    rows = sorted(tuple(r) for r in passage_index.passage_matches(frame, passages, slop=slop).collect())
+    assert {r[:2] for r in rows if r[2] == "proximity"} == want
+    exact = sorted(tuple(r) for r in passage_index.passage_matches(frame, passages).collect())
+    assert [r for r in rows if r[2] == "phrase"] == exact and {r[:2] for r in exact} < want
+    monkeypatch.setattr(passage_index, "AT_ONCE", 7)  # a run may not be cut where a part ends
+    assert sorted(tuple(r) for r in passage_index.passage_matches(frame, passages, slop=slop).collect()) == rows
+    assert sorted(tuple(r) for r in passage_index.passage_matches(frame, passages).collect()) == exact
+
+
 def test_percentiles_stay_in_their_bounds(spark):
     rng = random.Random(5)
     rows = []
