@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corvane.llm import broken_pairs, mixing, near_duplicates, passage_index, percentiles, pieces, radix_groups, related, stable_sample, text_index
 
@@ -29,7 +30,9 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_groups(spark: SparkSession, folder: str) -> DataFrame:
-    return near_duplicates.similar_groups(_table(spark, folder, "mock_spider"), "example_id", ["question"])
+    questions = near_duplicates.similar_groups(_table(spark, folder, "mock_spider"), "example_id", ["question"])
+    pairs = near_duplicates.similar_groups(_table(spark, folder, "synthetic_record"), "synthetic_id", ["question", "sql"])
+    return questions.select(F.lit("mock_spider").alias("origin"), "*").unionByName(pairs.select(F.lit("synthetic_record").alias("origin"), "*"))
 
 
 def p3_latency(spark: SparkSession, folder: str) -> DataFrame:

@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from corvane.llm import near_duplicates, radix_groups, related, text_index
+from corvane.llm import near_duplicates, queries, radix_groups, related, text_index
 
 WORD = re.compile(r"[^\W_]+")
 
@@ -120,6 +120,26 @@ def test_similar_groups(spark):
     assert got["d"][1] == got["e"][1] == 0 and len({g for g, _ in got.values()}) == 3
 
 
+def test_groups_of_both_tables_against_all_pairs(spark, tmp_path):
+    rng = random.Random(17)
+    asked, told = variants(rng, 40), variants(rng, 12) + [None, "!"]
+    spider = [(f"i{k:03}", q) for k, q in enumerate(asked[:60])]
+    synthetic = [(f"i{k:03}", q, rng.choice(told)) for k, q in enumerate([*asked, *asked[:20], None])]
+    spark.createDataFrame(spider + spider[:3], "example_id string, question string").write.parquet(f"{tmp_path}/mock_spider.parquet")
+    spark.createDataFrame(synthetic + synthetic[:3], "synthetic_id string, question string, sql string").write.parquet(f"{tmp_path}/synthetic_record.parquet")
+    got = queries.p2_groups(spark, str(tmp_path)).collect()
+    for origin, rows in (("mock_spider", spider), ("synthetic_record", synthetic)):
+        linked = [(a[0], b[0]) for a, b in itertools.combinations(rows, 2) if all(alike(x, y) for x, y in zip(a[1:], b[1:], strict=True))]
+        links, root = Counter(i for pair in linked for i in pair), {r[0]: r[0] for r in rows}
+        for a, b in linked:
+            old, new = root[a], root[b]
+            root = {k: new if v == old else v for k, v in root.items()}
+        mine = [r for r in got if r["origin"] == origin]
+        assert linked and {r["id"]: r["n_links"] for r in mine} == {r[0]: links[r[0]] for r in rows} and len(mine) == len(rows)
+        group = {r["id"]: r["group_id"] for r in mine}
+        assert all((group[a] == group[b]) == (root[a] == root[b]) for a, b in itertools.combinations(root, 2))
+
+
 def test_suffix_array_and_backward_search():
     rng = np.random.default_rng(4)
     docs = [rng.integers(100, 106, size=rng.integers(1, 9)) for _ in range(40)]
