@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.near_duplicates import seeded_min
+from corvane.llm.near_duplicates import seeded_min, similar_groups
 from corvane.llm.related import spanning_forest
 from corvane.llm.sql_reader import find_statement, only_literal, read, unfence
 from corvane.staging import stage
@@ -27,8 +27,8 @@ COMMON = 1000
 #: Words of an opening; words of a shingle and similarity of a cluster; MinHash bands and their rows.
 OPENING, SHINGLE, SIMILAR = 12, 5, 0.8
 BANDS, BAND_ROWS = 12, 2
-#: Unrelated prompts across which a template must recur.
-RECURS = 3
+#: Unrelated prompts across which a template must recur: so many, and one in so many of all distinct prompts.
+RECURS, RECURS_IN = 3, 10_000
 #: Placeholders that stand for no answer, as word sequences.
 PLACEHOLDERS = frozenset("none null nil na n a tbd tba todo fixme xxx empty blank placeholder undefined nan unknown pending missing void sql query answer".split()) | {
     "n a", "fill in later", "fill in", "fill me in", "query goes here", "query here", "sql goes here", "sql here", "your query here", "your sql here", "your code here",
@@ -197,11 +197,15 @@ def defects(records: DataFrame, key: str = "synthetic_id") -> DataFrame:
     facts = stage(pairs.mapInPandas(_facts(common), FACTS), "facts")
     prose = facts.where("verdict = 'prose'")
     clusters = opening_clusters(prose.select("opening").distinct())
-    # unrelated prompts: what a template says of them differs, or their questions do; equal questions count once
-    prompt = F.xxhash64("question").alias("prompt")
-    said = prose.join(clusters, "opening").join(pairs.select("cls", prompt), "cls")
-    templates = said.groupBy("root").agg(F.count_distinct("prompt").alias("prompts"), F.avg(F.col("carries").cast("double")).alias("carried"))
-    recurring = said.join(templates.where((F.col("prompts") >= RECURS) & (F.col("carried") < 0.5)).select("root"), "root", "left_semi").select("cls", F.lit(True).alias("template"))
+    # unrelated prompts: groups of similar questions, so that small edits of one question count once
+    prompt = F.xxhash64("question").cast("string").alias("prompt")
+    least = max(RECURS, -(-pairs.select(prompt).distinct().count() // RECURS_IN))
+    said = stage(prose.join(clusters, "opening").join(pairs.select("cls", "question", prompt), "cls"), "said")
+    frequent = said.groupBy("root").agg(F.count_distinct("prompt").alias("prompts"), F.avg(F.col("carries").cast("double")).alias("carried")).where((F.col("prompts") >= least) & (F.col("carried") < 0.5))
+    repeated = stage(said.join(frequent.select("root"), "root", "left_semi").select("cls", "root", "prompt", "question"), "repeated")
+    related = similar_groups(repeated.select("prompt", "question"), "prompt", ["question"]).select(F.col("id").alias("prompt"), "group_id")
+    templates = repeated.join(related, "prompt").groupBy("root").agg(F.count_distinct("group_id").alias("groups")).where(F.col("groups") >= least)
+    recurring = repeated.join(templates, "root", "left_semi").select("cls", F.lit(True).alias("template"))
     judged = facts.join(recurring, "cls", "left")
     # prose in the question's language that says some of its specific words and nothing of declining repeats it, altered
     prose_type = (

@@ -66,6 +66,13 @@ def test_unknown_refusals_are_found_by_recurrence(spark):
     assert got == {f"r{i:02}": "refusal" for i in range(10)}
 
 
+def test_variants_of_one_question_are_no_unrelated_prompts(spark):
+    asked = ["Show all boats of Zorvanil near Pelutaby harbour sorted by age", "Show all boats of Zorvanil near Pelutaby harbour ordered by age", "Please show all boats of Zorvanil near Pelutaby harbour sorted by age", "List all boats of Zorvanil near Pelutaby harbour sorted by age"]
+    rows = [(f"r{i}", q, "Man nimmt die Tabelle und zählt alle Einträge nach dem Filter.") for i, q in enumerate(asked)]
+    got = {r[0]: r[1] for r in broken_pairs.defects(spark.createDataFrame(rows, "synthetic_id string, question string, sql string")).collect()}
+    assert got == {f"r{i}": "language" for i in range(4)}
+
+
 def test_passages_against_all_windows(spark, monkeypatch):
     rng = random.Random(11)
     say = lambda n: [rng.choice(["alpha", "beta", "gamma", "delta", "eps"]) if rng.random() < 0.9 else f"w{rng.randrange(300)}" for _ in range(n)]
