@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from corvane.llm.near_duplicates import seeded_min, similar_groups
 from corvane.llm.related import spanning_forest
-from corvane.llm.sql_reader import find_statement, only_literal, read, unfence
+from corvane.llm.sql_reader import find_statement, only_literal, read, translated, unfence
 from corvane.staging import stage
 
 WORD = re.compile(r"[^\W_]+")
@@ -120,7 +120,8 @@ def foreign_to(question: str, answer: str) -> bool:
 def verdict(question: str | None, sql: str | None) -> tuple[str, str]:
     """(what the answer is, the text it says besides or in place of a statement).
 
-    "empty", "complete", "broken", "foreign" (a statement that goes wrong in the middle) or "prose".
+    "empty", "complete", "broken", "translated" (a statement with keywords that are no SQL), "foreign" (another one
+    that goes wrong in the middle) or "prose".
     """
     if sql is None:
         return "empty", ""
@@ -133,7 +134,7 @@ def verdict(question: str | None, sql: str | None) -> tuple[str, str]:
         if literal is not None and len(WORD.findall(literal)) >= 3:
             return "prose", literal
         state = read(statement)
-        return state, bare
+        return ("translated" if state == "foreign" and translated(statement) else state), bare
     said = re.sub(r"(?m)^\s*(?:--|#|//|>|\*)+", " ", bare).replace("/*", " ").replace("*/", " ")
     return "prose", said
 
@@ -213,7 +214,7 @@ def defects(records: DataFrame, key: str = "synthetic_id") -> DataFrame:
         .when(F.col("foreign_tongue"), "language")
         .when(F.col("carries"), "copy")
     )
-    kind = F.when(F.col("verdict") == "prose", prose_type).when(F.col("verdict").isin("empty", "copy"), F.col("verdict")).when(F.col("verdict") == "broken", "truncated")
+    kind = F.when(F.col("verdict") == "prose", prose_type).when(F.col("verdict").isin("empty", "copy"), F.col("verdict")).when(F.col("verdict") == "translated", "language").when(F.col("verdict") == "broken", "truncated")
     found = judged.select("cls", kind.alias("defect_type")).where("defect_type is not null")
     return members.join(found, "cls").select(F.col("id").alias(key), "defect_type").distinct()
 

@@ -25,6 +25,9 @@ RESERVED = frozenset("select from where group having order limit offset union in
 JOINS = frozenset("join inner left right full cross outer natural".split())
 #: Words that may stand where a statement goes on.
 CONTINUE = ("where", "group", "having", "order", "limit", "offset", "union", "intersect", "except", "join", "inner", "left", "right", "full", "cross", "natural", "and", "or", "like", "between", "in", "is", "not", "as", "asc", "desc", "on", "from", "then", "else", "end", "when", "by", "nulls")
+#: Further words of SQL dialects, which the reader doesn't know.
+EXTRA = frozenset("nulls over partition window rows range qualify top ilike rlike regexp similar to any some array lateral for update returning tablesample pivot unpivot unnest rollup cube filter within if cast interval recursive materialized connect start prior match against force ignore use index only ties percent first last next row div mod xor isnull notnull match_recognize insert into delete create values option semi anti cluster distribute sort minus straight_join sample".split())
+KNOWN = RESERVED | EXTRA
 LEAD = re.compile(r"(?is)(?:^|\n|[:!.]\s)\s*(?=(?:select|with)\b)")
 
 
@@ -418,6 +421,31 @@ def read(text: str) -> str:
     return "complete" if rest[0][0] in ("word", "op", "other", "number", "string", "name") and _after_line(text, reader) else "foreign"
 
 
+def translated(text: str) -> bool:
+    """Whether a "foreign" statement goes wrong at words that are no SQL: its keywords are translated.
+
+    Such a word, or the alias before it, stands where a keyword must. Behind what would be a whole statement, a
+    remark is told from that by what follows: a comparison or literal, or only a few words, and no end of a sentence.
+    """
+    reader = Reader(text)
+    whole = True
+    try:
+        reader.statement()
+    except (Broken, RecursionError):
+        return False
+    except Foreign:
+        whole = False
+    at = reader.at
+    rest = reader.tokens[at:]
+    if not rest or rest[0][0] != "word" or rest[0][1] in KNOWN or (at and reader.tokens[at - 1][1] in EXTRA):
+        return False
+    if not whole:
+        return True
+    if rest[-1][1] in (".", "!", "?"):
+        return False
+    return any(kind == "string" or word in ("=", "<>", "!=", "<", ">", "<=", ">=") for kind, word in rest) or len(rest) <= 3
+
+
 def _after_line(text: str, reader: Reader) -> bool:
     seen = -1
     for m in TOKEN.finditer(text):

@@ -57,6 +57,14 @@ def test_defects(spark):
     assert broken_pairs.defects(spark.createDataFrame([], "synthetic_id string, question string, sql string")).count() == 0
 
 
+def test_partly_translated_statements_are_another_language(spark):
+    told = ["SELECT a DESDE t DONDE b = 'x'", "SELECT a FROM t DONDE b = 'x'", "SELECT a FROM t WHERE b = 'x' ORDENAR POR c", "SELECT count(*) AUS t WO b >= 3 GRUPPIERE NACH c;", "SELECT a FROM t GRUPPIERE NACH c"]
+    whole = ["SELECT a FROM t WHERE b = 'x' This query lists all of the boats.", "SELECT a FROM t ORDER BY a WHERE b = 'x'", "SELECT a FROM t WHERE b ILIKE 'x'", "SELECT a FROM t QUALIFY x = 1", "SELECT a FROM t\nDas zählt alle Boote aus der Tabelle"]
+    rows = [(f"{k}{i}", Q, s) for k, texts in (("t", told), ("w", whole)) for i, s in enumerate(texts)]
+    got = {r[0]: r[1] for r in broken_pairs.defects(spark.createDataFrame(rows, "synthetic_id string, question string, sql string")).collect()}
+    assert got == {f"t{i}": "language" for i in range(len(told))}
+
+
 def test_unknown_refusals_are_found_by_recurrence(spark):
     rng = random.Random(4)
     name = lambda: "".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(4)).capitalize()
