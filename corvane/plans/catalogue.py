@@ -600,6 +600,15 @@ def stream_latency(spark: SparkSession, folder: str) -> DataFrame:
     return spark.table(name).drop("mean_latency")
 
 
+@query("SELECT model_id, CAST(date_trunc('day', logged_at) AS TIMESTAMP) AS start, CAST(sum(CAST(latency_ms AS DECIMAL(18, 4))) AS DOUBLE) / count(latency_ms) AS mean_latency FROM generation_result GROUP BY 1, 2")
+def stream_mean_latency(spark: SparkSession, folder: str) -> DataFrame:
+    from corvane.streaming import predictions
+
+    name = "corvane_stream_mean_latency"
+    predictions.run_once(predictions.windowed_latency(predictions.prediction_stream(spark, f"{folder}/generation_result.parquet")), name)
+    return spark.table(name).select("model_id", "start", "mean_latency")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -80,6 +80,15 @@ def test_stream(spark, tmp_path):
     assert (got["n"], got["mean_latency"], got["n_cut"]) == (1, 2.0, 1)
 
 
+def test_mean_of_the_stream_is_compared(spark, tmp_path):
+    from corvane.plans import catalogue
+
+    rows = spark.sql("select 'e' example_id, 's' generated_sql, col1 latency_ms, 'stop' finish_reason, 'm' model_id, timestamp'2025-01-01 10:00:00' logged_at from values (0.1D), (0.2D), (0.6D), (cast(null as double))")
+    rows.coalesce(1).write.parquet(str(tmp_path / "generation_result.parquet"))
+    got = catalogue.queries()["stream_mean_latency"](spark, str(tmp_path)).first()
+    assert got["mean_latency"] == 0.9 / 3 and "mean_latency" in catalogue.oracle_sql()["stream_mean_latency"]
+
+
 def test_databases_and_config(spark, tmp_path):
     from corvane.operators import prompts
     from corvane.sources import databases
