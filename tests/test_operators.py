@@ -102,6 +102,12 @@ def test_statements(spark):
     assert (shares["n"], shares["execution_match_rate"]) == (5, 0.2)
 
 
+def test_results_over_the_cap_are_compared_whole(spark):
+    pairs = [("same", "SELECT 6000 - id AS a FROM range(1, 6001)", "SELECT id AS a FROM range(6000)"), ("beyond", "SELECT if(id = 5999, -1, id) AS a FROM range(6000)", "SELECT id AS a FROM range(6000)")]
+    got = {r["example_id"]: r["execution_match"] for r in results.score_pairs(spark, pairs, timeout=60.0).collect()}
+    assert got == {"same": 1.0, "beyond": 0.0}
+
+
 def test_nearest_rank_and_last_record(spark):
     rows = spark.createDataFrame([("m", float(v)) for v in range(1, 11)] + [("n", None), (None, 4.0), (None, 4.0)], "model string, v double")
     got = {r["model"]: (r["n"], r["p50"], r["p95"]) for r in results.nearest_rank(rows, ["model"], "v").collect()}
