@@ -2,29 +2,27 @@
 
 1. Every task first counts its own rows in tries, so a text with a third of all copies leaves each task as
    one entry.
-2. The entries are partitioned by their leading bytes. Buckets larger than their share are split by further
-   bytes, again and again, until each fits; what can't be split further is a single key. At most
-   ``target_buckets`` buckets are oversized in any round, whatever the data's size, so the list of splits that
-   the driver keeps and the tasks read is bounded.
+2. The entries are partitioned by their leading bytes. Buckets of more than ``BUCKET_KEYS`` entries or
+   ``BUCKET_BYTES`` bytes of keys are split by further bytes, again and again, until each fits; what can't be split
+   further is a single key. Only the oversized buckets are read in the next round; their prefixes stand in a table.
 3. Each bucket is counted in one trie with terminal counters, bucket after bucket within a task.
 """
 
 from __future__ import annotations
 
 import os
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import PandasUDFType
 
 from corvane.staging import stage
 
 #: Bytes of the first partitioning and those added by the first split.
 FIRST_BYTES, MORE_BYTES = 2, 4
-#: Keys a task's trie holds before it hands them on.
-TRIE_KEYS = 200_000
+#: Keys, and bytes of keys, that a task's trie holds before it hands them on, and that a bucket may have.
+BUCKET_KEYS, BUCKET_BYTES = 50_000, 64_000_000
 #: Characters of the SQL key besides letters and digits.
 SQL_SIGNS = "<>=!+-*/%"
 
@@ -56,45 +54,45 @@ class KeyTrie:
     """Path-compressed trie over byte strings; a terminal holds the number of copies and the least id."""
 
     def __init__(self) -> None:
-        self.root: dict[int, list] = {}
-        self.keys = 0
+        self.root: list = [b"", {}, None]
+        self.keys = self.size = 0
 
     def add(self, key: bytes, n: int, least: str | None) -> None:
-        """An edge is [label, children, terminal]; terminal is None or [n, least]."""
-        children, at = self.root, 0
-        key += b"\0"  # no canonical key is another one's prefix, so every terminal is a leaf
-        while True:
-            edge = children.get(key[at])
-            if edge is None:
-                children[key[at]] = [key[at:], None, [n, least]]
-                self.keys += 1
+        """A node is [label, children by first byte, terminal]; terminal is None or [n, least]."""
+        node, at = self.root, 0
+        while at < len(key):
+            below = node[1].get(key[at])
+            if below is None:
+                node[1][key[at]] = [key[at:], {}, [n, least]]
+                self._grown(key)
                 return
-            label = edge[0]
-            if key.startswith(label, at):
-                at += len(label)
-                if at == len(key):
-                    end = edge[2]
-                    end[0] += n
-                    if least is not None and (end[1] is None or least < end[1]):
-                        end[1] = least
-                    return
-                children = edge[1]
-                continue
-            same = 0
-            while label[same] == key[at + same]:
-                same += 1
-            below = [label[same:], edge[1], edge[2]]
-            edge[:] = [label[:same], {label[same]: below}, None]
-            children, at = edge[1], at + same
+            label = below[0]
+            if not key.startswith(label, at):
+                same = len(os.path.commonprefix([label, key[at : at + len(label)]]))
+                below[:] = [label[:same], {label[same]: [label[same:], below[1], below[2]]}, None]
+            node, at = below, at + len(below[0])
+        if node[2] is None:
+            node[2] = [n, least]
+            self._grown(key)
+            return
+        node[2][0] += n
+        if least is not None and (node[2][1] is None or least < node[2][1]):
+            node[2][1] = least
+
+    def _grown(self, key: bytes) -> None:
+        self.keys += 1
+        self.size += len(key)
+
+    def full(self) -> bool:
+        return self.keys >= BUCKET_KEYS or self.size >= BUCKET_BYTES
 
     def entries(self) -> Iterator[tuple[bytes, int, str | None]]:
-        stack = [(b"", e) for e in self.root.values()]
+        stack = [(b"", self.root)]
         while stack:
             head, (label, children, end) = stack.pop()
             if end is not None:
-                yield (head + label)[:-1], end[0], end[1]
-            else:
-                stack.extend((head + label, e) for e in children.values())
+                yield head + label, end[0], end[1]
+            stack.extend((head + label, e) for e in children.values())
 
 
 def _frame(trie: KeyTrie) -> pd.DataFrame:
@@ -106,7 +104,7 @@ def _count_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for key, n, least in zip(pdf["key"], pdf["n"], pdf["least"], strict=True):
             trie.add(bytes(key), int(n), least)
-            if trie.keys >= TRIE_KEYS:
+            if trie.full():
                 yield _frame(trie)
                 trie = KeyTrie()
     if trie.keys:
@@ -130,64 +128,47 @@ def _count_buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield _frame(trie)
 
 
-def _bucket_of(key: bytes, splits: dict[bytes, int]) -> bytes:
-    prefix = key[:FIRST_BYTES]
-    while (depth := splits.get(prefix)) is not None:
-        prefix = key[:depth]
-    return prefix
+def _shared_bytes(first: pd.Series, last: pd.Series) -> pd.Series:
+    return pd.Series([len(os.path.commonprefix([bytes(a), bytes(b)])) for a, b in zip(first, last, strict=True)], dtype="int32")
 
 
-def _assign(splits: dict[bytes, int]) -> Callable[[Iterator[pd.Series]], Iterator[pd.Series]]:
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for keys in batches:
-            yield keys.map(lambda k: _bucket_of(bytes(k), splits))
-
-    return run
-
-
-def _bucket_column(splits: dict[bytes, int]) -> Column:
-    if not splits:
-        return F.substring("key", 1, FIRST_BYTES)
-    return F.pandas_udf(_assign(splits), "binary", PandasUDFType.SCALAR_ITER)("key")
-
-
-def radix_buckets(entries: DataFrame, target_buckets: int = 256) -> DataFrame:
+def radix_buckets(entries: DataFrame) -> DataFrame:
     """Add ``bucket`` (binary): the leading bytes of ``key`` at the depth where its bucket fits.
 
-    A bucket fits with at most 1/``target_buckets`` of the entries, or if it holds one key only. A larger one is
-    split behind the bytes that all its keys share, by twice as many bytes in each round, so the number of rounds
-    grows with the logarithm of the longest key. ``entries`` must be a written table.
+    A bucket fits with at most BUCKET_KEYS entries and BUCKET_BYTES bytes of keys, or if it holds one key only. A
+    larger one is split behind the bytes that all its keys share, by twice as many bytes in each round, so the number
+    of rounds grows with the logarithm of the longest key. ``entries`` must be a written table.
     """
-    fits = max(1, -(-entries.count() // target_buckets))
-    splits: dict[bytes, int] = {}
-    more = MORE_BYTES
+    shared = F.pandas_udf(_shared_bytes, "int")
+    rest, placed, more = entries.withColumn("bucket", F.substring("key", 1, FIRST_BYTES)), None, MORE_BYTES
     while True:
-        counts = entries.select("key", _bucket_column(splits).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.min("key").alias("first"), F.max("key").alias("last"))
-        large = counts.where((F.col("c") > fits) & (F.col("first") != F.col("last"))).select("bucket", "first", "last").collect()
-        if not large:
-            return entries.withColumn("bucket", _bucket_column(splits))
-        for r in large:
-            shared = len(os.path.commonprefix([bytes(r["first"]), bytes(r["last"])]))
-            splits[bytes(r["bucket"])] = max(shared, len(r["bucket"])) + more
+        counts = rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.sum(F.length("key")).alias("size"), F.min("key").alias("first"), F.max("key").alias("last"))
+        large = counts.where(((F.col("c") > BUCKET_KEYS) | (F.col("size") > BUCKET_BYTES)) & (F.col("first") != F.col("last")))
+        large = stage(large.select("bucket", (F.greatest(shared("first", "last"), F.length("bucket")) + more).alias("depth")), "oversized")
+        if large.isEmpty():
+            return rest if placed is None else placed.unionByName(rest)
+        fitting = rest.join(large, "bucket", "left_anti")
+        placed = fitting if placed is None else placed.unionByName(fitting)
+        rest = stage(rest.join(large, "bucket").withColumn("bucket", F.expr("substring(key, 1, depth)")).select(*placed.columns), "split")
         more *= 2
 
 
-def count_copies(keyed: DataFrame, target_buckets: int = 256) -> DataFrame:
+def count_copies(keyed: DataFrame) -> DataFrame:
     """(key, n, least) for ``keyed`` (key binary, least string): copies per key and the least id, null ids last.
 
-    Ids compare as byte strings. Keys may be empty and of any length; an empty table gives no rows.
+    Ids compare as byte strings. Keys may be empty, of any bytes and length; an empty table gives no rows.
     """
     local = stage(keyed.select("key", F.lit(1).cast("bigint").alias("n"), "least").mapInPandas(_count_rows, ENTRY), "tries")
-    placed = radix_buckets(local, target_buckets)
+    placed = radix_buckets(local)
     return placed.repartition("bucket").sortWithinPartitions("bucket").select("bucket", "key", "n", "least").mapInPandas(_count_buckets, ENTRY)
 
 
-def formatting_copies(records: DataFrame, raw: DataFrame, target_buckets: int = 256) -> DataFrame:
+def formatting_copies(records: DataFrame, raw: DataFrame) -> DataFrame:
     """(example_id, n_copies) for every set of rows of both tables that agree in question and SQL key.
 
     Every row counts, repeats included. A null question or SQL has the empty key.
     """
     both = records.select("example_id", "question", "gold_sql").unionByName(parsed_payloads(raw).select("example_id", "question", "gold_sql"))
     key = F.encode(F.concat(question_key(F.col("question")), F.lit("\x01"), sql_key(F.col("gold_sql"))), "UTF-8")
-    counted = count_copies(both.select(key.alias("key"), F.col("example_id").alias("least")), target_buckets)
+    counted = count_copies(both.select(key.alias("key"), F.col("example_id").alias("least")))
     return counted.select(F.col("least").alias("example_id"), F.col("n").alias("n_copies"))

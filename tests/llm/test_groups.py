@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 
 from corvane.llm import near_duplicates, queries, radix_groups, related, text_index
+from corvane.staging import stage
 
 WORD = re.compile(r"[^\W_]+")
 
@@ -193,19 +194,32 @@ def test_cross_split_pairs_against_all_pairs(spark, monkeypatch):
 
 def test_key_trie_counts():
     rng = random.Random(8)
-    keys = ["".join(rng.choice("ab") for _ in range(rng.randint(0, 6))).encode() for _ in range(400)]
+    keys = [b"a\0b", b"a", b"\0", b"", *("".join(rng.choice("ab\0") for _ in range(rng.randint(0, 6))).encode() for _ in range(400))]
     trie = radix_groups.KeyTrie()
     for i, k in enumerate(keys):
         trie.add(k, 1, f"{i:04}")
     assert {k: (n, least) for k, n, least in trie.entries()} == {k: (c, f"{keys.index(k):04}") for k, c in Counter(keys).items()}
 
 
-@pytest.mark.parametrize("buckets", [1, 64])
-def test_formatting_copies(spark, buckets):
+@pytest.mark.parametrize("most", [2, 50_000])
+def test_formatting_copies(spark, most, monkeypatch):
+    monkeypatch.setattr(radix_groups, "BUCKET_KEYS", most)
     rows = [("b", "Who? Me!", "SELECT 1;", "k"), ("a", "who me", "select  1", "k"), ("b", "Who? Me!", "SELECT 1;", "k"), ("c", "other", None, "k"), ("d", "OTHER", "", "k"), ("e", None, "x", "k"), ("f", "prefix", "s", "k"), ("g", "prefix2", "s", "k"), (None, "who me", "select 1", "k")]
     rows += [(f"h{i:03}", "hot text", "select 2", "k") for i in range(300)] + [(f"p{i:03}", "long " * 200 + str(i), "s", "k") for i in range(40)]
     raw = [json.dumps({"gold_sql": "select 1", "question": "WHO ME", "example_id": "0"}), '{ "question" : "wh\\u006f me", "gold_sql":"select 1"}', '{"question": "who me", "gold_sql": "sel', "", None, "[1]", "{'question': 'who me'}"]
-    got = radix_groups.formatting_copies(spark.createDataFrame(rows, "example_id string, question string, gold_sql string, bucket string"), spark.createDataFrame([(r,) for r in raw], "payload string"), buckets)
+    got = radix_groups.formatting_copies(spark.createDataFrame(rows, "example_id string, question string, gold_sql string, bucket string"), spark.createDataFrame([(r,) for r in raw], "payload string"))
     assert {tuple(r) for r in got.where("n_copies > 1").collect()} == {("0", 6), ("c", 2), ("h000", 300)}
-    empty = radix_groups.formatting_copies(spark.createDataFrame([], "example_id string, question string, gold_sql string"), spark.createDataFrame([], "payload string"), buckets)
+    empty = radix_groups.formatting_copies(spark.createDataFrame([], "example_id string, question string, gold_sql string"), spark.createDataFrame([], "payload string"))
     assert empty.count() == 0
+
+
+def test_radix_buckets_fit(spark, monkeypatch):
+    monkeypatch.setattr(radix_groups, "BUCKET_KEYS", 5)
+    keys = [f"{'shared ' * 9}{i % 40:02}{'x' * (i % 7)}".encode() for i in range(200)] + [b"one key"] * 30 + [b"", b"\0"]
+    entries = stage(spark.createDataFrame([(k, 1, None) for k in keys], radix_groups.ENTRY))
+    rows = radix_groups.radix_buckets(entries).collect()
+    assert sorted(bytes(r["key"]) for r in rows) == sorted(keys) and all(bytes(r["key"]).startswith(bytes(r["bucket"])) for r in rows)
+    held = defaultdict(list)
+    for r in rows:
+        held[bytes(r["bucket"])].append(bytes(r["key"]))
+    assert all(len(v) <= 5 or len(set(v)) == 1 for v in held.values())
