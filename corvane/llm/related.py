@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from corvane.functions.words import level_name, strip
 from corvane.operators.running import running_sums
-from corvane.staging import stage
+from corvane.staging import drop, stage
 
 #: Names that relate nothing.
 NO_NAME = ("", "unknown", "n/a")
+#: Groups of a size band that are dealt to the splits in one round.
+ROUND = 24
 
 
 def spanning_forest(vertices: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -41,9 +43,11 @@ def spanning_forest(vertices: DataFrame, edges: DataFrame) -> tuple[DataFrame, D
             up = jump.select(F.col("c").alias("p"), F.col("p").alias("p2"))
             upper = jump.select(F.col("c").alias("p2"), F.col("p").alias("p3"))
             nxt = stage(jump.join(up, "p").join(upper, "p2").select("c", F.col("p3").alias("p"), (F.col("p2") != F.col("p3")).alias("moved")), "parents")
-            jump = nxt.select("c", "p")
+            drop(jump)
+            jump = nxt
             if nxt.where("moved").isEmpty():
                 break
+        old = labels, left, jump
         labels = stage(
             labels.join(jump.select(F.col("c").alias("root"), "p"), "root", "left").select("v", F.coalesce("p", "root").alias("root")), "labels"
         )
@@ -56,6 +60,7 @@ def spanning_forest(vertices: DataFrame, edges: DataFrame) -> tuple[DataFrame, D
             .select("w", "ca", "cb"),
             "edges",
         )
+        drop(*old)
     spark = labels.sparkSession
     trees = spark.createDataFrame([], "a string, b string")
     for f in forest:
@@ -96,29 +101,30 @@ def torn_databases(catalog: DataFrame, records: DataFrame) -> DataFrame:
 def deal_groups(sizes: DataFrame, targets: dict[str, float], seed: str = "deal") -> DataFrame:
     """Assign groups (root, n) to splits in the proportions of ``targets``: (root, n, split).
 
-    Groups are stratified by size band (powers of two), larger bands first. Within a band they are ordered
-    by a seeded hash and dealt along the band's running size, cut by the shares the splits still lack;
-    what the large groups overshoot, the small ones make up for. The driver sees one total per band and
-    split, at most 64 bands. A group larger than its split's share keeps together all the same.
+    Groups are stratified by size band (powers of two), larger bands first. Within a band they are dealt
+    systematically: along the running size of their seeded hash order the band is walked in rounds of about
+    ``ROUND`` groups, and each round is cut by the shares the splits still lack. What the large groups overshoot,
+    the small ones make up for. The driver sees one total per band and split, at most 64 bands; each band is read
+    from its own partition. A group larger than its split's share keeps together all the same.
     """
-    total_share = sum(targets.values())
     names = sorted(targets)
     banded = sizes.withColumn("band", F.floor(F.log2("n")).cast("int")).withColumn("_h", F.xxhash64(F.lit(seed), "root"))
-    ranked = stage(running_sums(banded, ["_h", "root"], "n", ["band"]), "bands")
-    bands = {r["band"]: r["n"] for r in ranked.groupBy("band").agg(F.sum("n").alias("n")).collect()}
-    total = sum(bands.values())
-    lack = {s: total * targets[s] / total_share for s in names}
+    ranked = stage(running_sums(banded, ["_h", "root"], "n", ["band"]), "bands", ["band"])
+    bands = {r["band"]: (r["n"], r["groups"]) for r in ranked.groupBy("band").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("groups")).collect()}
+    total = sum(n for n, _ in bands.values())
+    lack = {s: total * targets[s] / sum(targets.values()) for s in names}
     dealt = None
     for band in sorted(bands, reverse=True):
+        size, groups = bands[band]
         need = {s: max(0.0, lack[s]) for s in names}
         if not sum(need.values()):
             need = {s: targets[s] for s in names}
-        middle, at = F.col("running") - F.col("n") / 2, 0.0
+        around = size / max(1, groups // ROUND)
+        place = F.pmod(F.col("running") - F.col("n") / 2, F.lit(around)) / around
         split = F.lit(max(need, key=lambda s: (need[s], s)))
         for s in reversed(names):
-            upper = bands[band] * sum(need[x] for x in names[: names.index(s) + 1]) / sum(need.values())
             if need[s] > 0:
-                split = F.when(middle <= upper, F.lit(s)).otherwise(split)
+                split = F.when(place <= sum(need[x] for x in names[: names.index(s) + 1]) / sum(need.values()), F.lit(s)).otherwise(split)
         one = ranked.where(F.col("band") == band).select("root", "n", split.alias("split"))
         for r in one.groupBy("split").agg(F.sum("n").alias("n")).collect():
             lack[r["split"]] -= r["n"]

@@ -70,6 +70,17 @@ def test_split_records_keeps_groups_whole(spark):
     assert abs(share["train"] / len(got) - 0.8) < 0.02 and abs(share["test"] / len(got) - 0.1) < 0.02
 
 
+def test_deal_is_systematic(spark):
+    sizes = spark.createDataFrame([(f"g{i:04}", 1 + i % 4) for i in range(2000)], "root string, n bigint")
+    got = sorted(related.deal_groups(sizes, {"a": 0.5, "b": 0.3, "c": 0.2}).collect(), key=lambda r: r["root"])
+    total = sum(r["n"] for r in got)
+    share = Counter()
+    for r in got:
+        share[r["split"]] += r["n"] / total
+    assert len(got) == 2000 and all(abs(share[s] - t) < 0.01 for s, t in (("a", 0.5), ("b", 0.3), ("c", 0.2)))
+    assert related.deal_groups(sizes.limit(0), {"a": 1.0}).count() == 0
+
+
 def variants(rng, n):
     vocabulary = [f"w{i}" for i in range(60)] + ["how", "many", "of", "the"] * 3
     base = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 14))) for _ in range(n)]
