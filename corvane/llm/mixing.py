@@ -1,10 +1,11 @@
 """Mixing sources to target weights (problem 9): hierarchical budgeting over a domain-language-source tree.
 
-Sizes are tokens. The target weights stand at the tree's upper level; below it a node's weight follows its
-available tokens. Budgets are handed down from the root; a node that can't use its budget, with all its records
-repeated as often as allowed, leaves the rest to its siblings in proportion to their weights, and only what no
-sibling can take goes to the level above. Each leaf then takes whole epochs and, of one more epoch in a seeded
-order, the longest prefix of records that fits its budget.
+Sizes are tokens. A source's weight is spread over its languages in proportion to their tokens, and a node's weight
+is the sum of its children's. Budgets are handed down from the root; a node that can't use its budget, with all its
+records repeated as often as allowed, leaves the rest to its siblings in proportion to their weights, and only what no
+sibling can take goes to the level above. Each leaf then takes whole epochs and, of one more epoch in a seeded order,
+the longest prefix of records that fits its budget. What the prefix can't use, as the next record is too large, is
+spent on the records behind it that fit, in the same order, and then by the source's leaves in other languages.
 """
 
 from __future__ import annotations
@@ -18,6 +19,9 @@ from corvane.llm.tokens import VOCABULARY, with_tokens
 from corvane.operators.running import running_sums
 from corvane.staging import stage
 
+#: Share of a source's budget that may stay unspent, where a record that fits it would be left.
+SLACK = 0.002
+
 
 @dataclass
 class Node:
@@ -62,23 +66,60 @@ def budgets(leaves: list[tuple[str, str, float]], targets: dict[str, tuple[float
 
     ``leaves``: available tokens per (source, language); ``targets``: share and greatest number of uses per source;
     ``total``: size of the mixture, by default the tokens of all sources with a target; ``domains``: source ->
-    domain, by default one domain per source. A source without a target gets nothing.
+    domain, by default one domain for all. A source without a target gets nothing.
     """
-    tree: dict[str, dict[str, dict[str, float]]] = {}
-    for source, lang, size in leaves:
-        if source in targets and targets[source][0] > 0:
-            tree.setdefault((domains or {}).get(source, source), {}).setdefault(source, {})[lang] = float(size)
-    root = Node((), 1.0)
-    for domain in sorted(tree):
-        d = Node((domain,), sum(targets[s][0] for s in tree[domain]))
-        for source in sorted(tree[domain]):
-            s = Node((domain, source), targets[source][0])
-            s.children = [Node((source, lang), size, size * targets[source][1]) for lang, size in sorted(tree[domain][source].items())]
-            d.children.append(s)
-        root.children.append(d)
+    wanted = [x for x in leaves if x[0] in targets and targets[x[0]][0] > 0]
+    of_source: dict[str, float] = {}
+    for source, _, size in wanted:
+        of_source[source] = of_source.get(source, 0.0) + size
+    tree: dict[str, dict[str, list[Node]]] = {}
+    for source, lang, size in sorted(wanted):
+        leaf = Node((source, lang), targets[source][0] * size / of_source[source], size * targets[source][1])
+        tree.setdefault((domains or {}).get(source, ""), {}).setdefault(lang, []).append(leaf)
+    above = lambda name, children: Node(name, sum(c.weight for c in children), children=children)
+    root = above((), [above((d,), [above((d, lang), below) for lang, below in sorted(langs.items())]) for d, langs in sorted(tree.items())])
     root.fill()
     root.spend(sum(x[2] for x in leaves if x[0] in targets) if total is None else total)
-    return {leaf.name: leaf.budget for d in root.children for s in d.children for leaf in s.children}
+    return {leaf.name: leaf.budget for d in root.children for lang in d.children for leaf in lang.children}
+
+
+@dataclass
+class Leaf:
+    """What a leaf has used of its budget: whole epochs and ``taken`` tokens of one more; ``rest`` is still to be spent.
+    ``fresh``: of the current epoch nothing has been taken yet."""
+
+    size: float
+    repeats: int
+    budget: float
+    epochs: int = 0
+    rest: float = 0.0
+    taken: float = 0.0
+    fresh: bool = True
+
+    def __post_init__(self) -> None:
+        self.begin(self.budget)
+
+    def begin(self, budget: float) -> None:
+        self.epochs = min(self.repeats, int(budget // self.size))
+        self.rest, self.taken, self.fresh = max(0.0, budget - self.epochs * self.size) if self.epochs < self.repeats else 0.0, 0.0, True
+
+    def room(self) -> float:
+        return max(0.0, (self.repeats - self.epochs) * self.size - self.taken - self.rest)
+
+    def more(self, tokens: float) -> None:
+        self.rest += tokens
+        if self.taken + self.rest >= self.size:  # beyond the current epoch: all its records are used
+            self.begin(self.epochs * self.size + self.taken + self.rest)
+
+
+def _hand_over(leaves: dict[tuple[str, str], Leaf], closed: set[tuple[str, str]], heirs: set[tuple[str, str]]) -> None:
+    """Give what the leaves ``closed`` can't spend to ``heirs`` of their source, in proportion to the room of these."""
+    for name in sorted(closed):
+        room = {x: leaves[x].room() for x in sorted(heirs) if x[0] == name[0]}
+        whole, left = sum(room.values()), leaves[name].rest
+        leaves[name].rest = 0.0
+        for x, r in room.items():
+            leaves[x].more(min(left, whole) * r / whole if whole else 0.0)
 
 
 def mixture(documents: DataFrame, targets: DataFrame, total: float | None = None, seed: str = "mix", domains: dict[str, str] | None = None, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -86,24 +127,51 @@ def mixture(documents: DataFrame, targets: DataFrame, total: float | None = None
     so never more often than its source's max_repeats.
 
     Each row of ``documents`` is a record; doc_id must be unique. A null lang is a language of its own; null sources
-    and sources without target give nothing. Texts without tokens are never used. The driver sees one row per
-    (source, language) of the sources with targets.
+    and sources without target give nothing. Texts without tokens are never used. A source whose records allow it
+    comes within ``SLACK`` of its budget. The driver sees one row per (source, language) of the sources with targets.
     """
+    spark = documents.sparkSession
     wanted = {r["source"]: (float(r["target_share"] or 0), int(r["max_repeats"] or 0)) for r in targets.where("source is not null").collect()}
     counted = stage(with_tokens(documents.where(F.col("source").isin(*wanted) if wanted else F.lit(False)), "text", ["doc_id", "source", "lang"], "tokens", vocabulary).where("tokens > 0"), "tokens")
     unique = counted.withColumn("lang", F.coalesce("lang", F.lit("")))
-    leaves = [(r["source"], r["lang"], r["t"]) for r in unique.groupBy("source", "lang").agg(F.sum("tokens").alias("t")).collect()]
-    given = budgets(leaves, wanted, total, domains)
-    size = {(s, lang): t for s, lang, t in leaves}
-    plan = [(s, lang, int(b // size[s, lang]), float(b - (b // size[s, lang]) * size[s, lang])) for (s, lang), b in sorted(given.items())]
-    spark = documents.sparkSession
-    plan_df = F.broadcast(spark.createDataFrame(plan, "source string, lang string, epochs int, rest double"))  # one row per leaf
-    order = F.xxhash64(F.lit(seed), "epochs", "doc_id").alias("_h")
-    planned = unique.join(plan_df, ["source", "lang"]).select("doc_id", "source", "lang", "tokens", "epochs", "rest", order)
-    running = running_sums(planned, ["_h", "doc_id", "tokens"], "tokens", ["source", "lang"])
-    uses = F.col("epochs") + (F.col("running") <= F.col("rest")).cast("int")
-    used = running.select("doc_id", "source", F.nullif("lang", F.lit("")).alias("lang"), "tokens", uses.cast("int").alias("n_uses")).where("n_uses > 0")
-    return used
+    size = {(r["source"], r["lang"]): r["t"] for r in unique.groupBy("source", "lang").agg(F.sum("tokens").alias("t")).collect()}
+    given = budgets([(*leaf, t) for leaf, t in size.items()], wanted, total, domains)
+    names = sorted(given)
+    leaves = {x: Leaf(float(size[x]), wanted[x[0]][1], given[x]) for x in names}
+    inside = lambda some: F.col("leaf").isin(*[names.index(x) for x in sorted(some)]) if some else F.lit(False)
+    fields = "leaf int, source string, lang string, epochs int, rest double, fresh boolean"
+    plan = lambda: F.broadcast(spark.createDataFrame([(i, *x, leaves[x].epochs, leaves[x].rest, leaves[x].fresh) for i, x in enumerate(names)], fields))  # noqa: E731  # one row per leaf
+
+    def unsettled(some: set[tuple[str, str]]) -> set[tuple[str, str]]:
+        """Those of sources with more left to spend than SLACK."""
+        left = {s: sum(leaves[x].rest for x in names if x[0] == s) - SLACK * sum(given[x] for x in names if x[0] == s) for s in wanted}
+        return {x for x in some if left[x[0]] > 0}
+
+    open_ = unsettled(set(names))
+    numbered = unique.join(plan().select("leaf", "source", "lang", "epochs"), ["source", "lang"]).select("doc_id", "leaf", "tokens", "epochs", F.lit(0).alias("take"))
+    done, todo = numbered.where(~inside(open_)), numbered.where(inside(open_))
+    while open_:
+        planned = todo.drop("epochs").join(plan().select("leaf", "epochs", "rest", "fresh"), "leaf").withColumn("take", F.when(F.col("fresh"), 0).otherwise(F.col("take")))
+        fits = F.col("fresh") | ((F.col("tokens") <= F.col("rest")) & (F.col("take") == 0))
+        planned = planned.withColumn("weight", F.when(fits, F.col("tokens")).otherwise(0)).withColumn("_h", F.xxhash64(F.lit(seed), "epochs", "doc_id"))
+        summed = running_sums(planned, ["_h", "doc_id", "tokens"], "weight", ["leaf"])
+        new = ((F.col("weight") > 0) & (F.col("running") <= F.col("rest"))).cast("int").alias("new")
+        marked = stage(summed.select("doc_id", "leaf", "tokens", "epochs", "take", new), "taken")
+        spent = {names[r["leaf"]]: float(r["t"]) for r in marked.groupBy("leaf").agg(F.sum(F.col("tokens") * F.col("new")).alias("t")).collect()}
+        marked = marked.select("doc_id", "leaf", "tokens", "epochs", (F.col("take") + F.col("new")).alias("take"))
+        # no record of these fits; of a source the one with the most left is closed, for the others to inherit
+        stuck = {x for x in open_ if not leaves[x].fresh and not spent[x]}
+        stuck = {max((x for x in stuck if x[0] == s), key=lambda x: (leaves[x].rest, x)) for s in {x[0] for x in stuck}}
+        for x, t in spent.items():
+            leaves[x].rest, leaves[x].taken, leaves[x].fresh = leaves[x].rest - t, leaves[x].taken + t, False
+        _hand_over(leaves, stuck, open_ - stuck)
+        still = unsettled(open_ - stuck)
+        # a leaf that has begun another epoch since has used all its records in this one
+        stand = plan().select("leaf", F.col("epochs").alias("now"), "fresh")
+        closing = marked.where(~inside(still)).join(stand, "leaf").select("doc_id", "leaf", "tokens", F.col("now").alias("epochs"), F.when(F.col("fresh"), 0).otherwise(F.col("take")).alias("take"))
+        done, todo, open_ = done.unionByName(closing), marked.where(inside(still)), still
+    uses = done.select("doc_id", "leaf", "tokens", (F.col("epochs") + F.col("take")).cast("int").alias("n_uses")).where("n_uses > 0")
+    return uses.join(plan().select("leaf", "source", "lang"), "leaf").select("doc_id", "source", F.nullif("lang", F.lit("")).alias("lang"), "tokens", "n_uses")
 
 
 def mixture_shares(used: DataFrame, targets: DataFrame) -> DataFrame:

@@ -194,16 +194,33 @@ def test_sample_is_stable(spark):
 
 
 def test_budgets_redistribute_among_siblings_first():
-    leaves = [("a", "en", 100.0), ("a", "de", 100.0), ("b", "en", 1000.0), ("c", "en", 1000.0), ("z", "en", 5.0)]
+    leaves = [("a", "en", 100.0), ("a", "de", 100.0), ("b", "en", 1000.0), ("c", "en", 500.0), ("c", "de", 500.0), ("z", "en", 5.0)]
     targets = {"a": (0.5, 1), "b": (0.25, 1), "c": (0.25, 1), "gone": (0.1, 1)}
-    flat = mixing.budgets(leaves, targets, 800.0)
-    assert flat == {("a", "en"): 100.0, ("a", "de"): 100.0, ("b", "en"): 300.0, ("c", "en"): 300.0}
+    found = mixing.budgets(leaves, targets, 800.0)
+    # of each language's part what a can't use goes to the language's other sources
+    assert found[("a", "en")] == found[("a", "de")] == 100.0
+    assert found[("c", "de")] == pytest.approx(800 * 0.375 - 100) and found[("b", "en")] == pytest.approx(400 * 2 / 3) and sum(found.values()) == pytest.approx(800)
     domains = mixing.budgets(leaves, targets, 800.0, {"a": "x", "b": "x", "c": "y"})
-    assert domains[("b", "en")] == pytest.approx(400.0) and domains[("c", "en")] == pytest.approx(200.0)
+    assert domains[("b", "en")] == pytest.approx(400.0) and domains[("c", "en")] + domains[("c", "de")] == pytest.approx(200.0)
     assert sum(mixing.budgets(leaves, targets, 1e9).values()) == 2200.0
     assert mixing.budgets([], targets) == {}
 
 
+def test_every_source_with_room_comes_close_to_its_budget(spark):
+    rng = random.Random(8)
+    docs = [(i, "w " * rng.choice([5, 20, 70, 3000]), rng.choice(["en", "de"]), rng.choice("ab")) for i in range(600)]
+    targets = spark.createDataFrame([("a", 0.2, 1), ("b", 0.8, 2)], "source string, target_share double, max_repeats int")
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string")
+    shares = {r["source"]: r for r in mixing.mixture_shares(mixing.mixture(frame, targets), targets).collect()}
+    assert abs(shares["a"]["share"] - 0.2) < 0.002 and shares["b"]["max_uses"] == 2
+    # a record that its leaf's rest can't hold leaves its tokens to the source's other languages, through more epochs
+    few = [(1, "w " * 1000, "zh", "a")] + [(i, "w " * 9, "en", "a") for i in range(2, 40)] + [(i, "w " * 50, "en", "b") for i in range(50, 90)]
+    frame = spark.createDataFrame(few, "doc_id bigint, text string, lang string, source string")
+    targets = spark.createDataFrame([("a", 0.5, 8), ("b", 0.5, 1)], "source string, target_share double, max_repeats int")
+    reached = {r["source"]: r["tokens"] for r in mixing.mixture_shares(mixing.mixture(frame, targets, 4000.0), targets).collect()}
+    assert 1985 <= reached["a"] <= 2000 and 1950 <= reached["b"] <= 2000
+
+
 def test_mixture(spark):
     rng = random.Random(3)
     docs = [(i, rng.choice(["w ", "xy z "]) * rng.randint(1, 30), rng.choice(["en", "de", None]), "big" if i < 400 else "small", 7) for i in range(440)]
