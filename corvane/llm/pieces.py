@@ -1,17 +1,18 @@
 """Splitting oversized items at natural boundaries (problem 10): structure-tree packing.
 
-A text's structure is a tree: sections under headings, paragraphs, list items, lines, sentences, words,
-characters. Each place between two tokens has the level of the strongest boundary there, so a level cuts the text
-into the tree's nodes of that level. Sizes are sums over the text's own tokens, computed once per text for all
-limits. Packing works on a stretch that is too large: its subtrees at the strongest level found inside are merged
-with their following siblings as long as the limit allows; only a subtree that is itself too large is descended
-into. Each piece but the first begins ``overlap`` tokens before the end of the previous one.
+A text is parsed into a tree: sections nested by the rank of their headings, blocks, list items nested by their
+indent, lines, sentences, clauses, words, characters. Inside a code fence only its lines and blank lines count. Each
+place between two tokens has the level of the strongest boundary there; the places of the strongest level inside a node
+cut it into its children. Sizes are sums over the text's own tokens, computed once per text for all limits. Packing
+starts at the root: a node's children are merged with their following siblings as long as the limit allows, only a
+child that is itself too large is descended into, and no piece joins the children of two parents. Each piece but the
+first begins ``overlap`` tokens before the end of the previous one.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,14 +22,16 @@ from pyspark.sql import functions as F
 
 from corvane.llm.tokens import VOCABULARY, encode, token_bytes
 
-#: Levels of boundaries from the strongest on.
-LEVELS = ("section", "block", "item", "line", "sentence", "clause", "word", "character")
-CHARACTER = len(LEVELS) - 1
-#: Lines that begin a section, a block (fence, table row, markup) or an item.
-SECTION = re.compile(rb"#{1,6}[ \t]|<h[1-6][ >]")
-BLOCK = re.compile(rb"```|~~~|\||<(?:p|ul|ol|table|div|section|pre)[ >]")
-ITEM = re.compile(rb"[ \t]*(?:[-*+]|\d{1,4}[.)]|<li>|<tr>)[ \t]*\S")
+#: Levels of boundaries from the strongest on; items by the depth of their list.
+LEVELS = ("h1", "h2", "h3", "h4", "h5", "h6", "block", "item 1", "item 2", "item 3", "item 4", "line", "sentence", "clause", "word", "character")
+BLOCK, ITEM, INNER, LINE, CHARACTER = LEVELS.index("block"), LEVELS.index("item 1"), LEVELS.index("item 4"), LEVELS.index("line"), len(LEVELS) - 1
+#: Lines of headings, fences, table rows, block markup and list items (indent and mark).
+HEADING = re.compile(rb"(?:(#{1,6})[ \t]|<h([1-6])[ >])")
+FENCE = re.compile(rb" {0,3}(```+|~~~+)([^\r\n]*)")
+MARKUP = re.compile(rb"<(?:p|ul|ol|table|div|section|pre)[ >]")
+LIST_ITEM = re.compile(rb"([ \t]*)(?:[-*+]|\d{1,4}[.)]|<li>|<tr>)[ \t]*\S")
 EMPTY = re.compile(rb"[ \t]*(?:[\r\n]|\Z)")
+PLAIN, HEAD, CODE, TABLE, LISTED, MARKED, INDENTED = range(7)
 
 
 def _table(chars: bytes) -> np.ndarray:
@@ -45,8 +48,63 @@ EDGE, TOGETHER = 6, 4_000_000
 PIECE = "limit_id int, piece_no int, n_tokens int, overlap_tokens int, boundary string, piece string"
 
 
-def boundaries(raw: bytes) -> list[np.ndarray]:
-    """Per level from section to word, the byte places where a piece may begin."""
+def _line_levels(raw: bytes, lines: np.ndarray, first: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(level, empty) of the lines that begin at the byte places ``lines``; ``texts``: where texts begin in ``raw``."""
+    byte_empty = (first == 10) | (first == 13)
+    empty, level, kind = byte_empty.copy(), np.full(len(lines), LINE, np.int8), np.full(len(lines), PLAIN, np.int8)
+    special = np.flatnonzero(SPECIAL[first])
+    owner = np.searchsorted(texts, lines[special], side="right")
+    fences: list[tuple[int, int]] = []  # lines of the opening and of the one after the closing
+    opened, mark, of = -1, b"", 0
+    text_end = lambda o: int(np.searchsorted(lines, texts[o])) if o < len(texts) else len(lines)
+    for k, o in zip(special.tolist(), owner.tolist(), strict=True):
+        at = int(lines[k])
+        if opened >= 0 and o != of:  # a fence ends with its text
+            fences.append((opened, text_end(of)))
+            opened = -1
+        if EMPTY.match(raw, at):
+            empty[k] = True
+            continue
+        fence = FENCE.match(raw, at)
+        if opened >= 0:
+            if fence and fence.group(1).startswith(mark) and not fence.group(2).strip():
+                fences.append((opened, k + 1))
+                opened = -1
+            continue
+        if fence:
+            opened, mark, of = k, fence.group(1), o
+            continue
+        if heading := HEADING.match(raw, at):
+            kind[k], level[k] = HEAD, len(heading.group(1)) - 1 if heading.group(1) else int(heading.group(2)) - 1
+        elif raw[at] == 0x7C:
+            kind[k] = TABLE
+        elif item := LIST_ITEM.match(raw, at):
+            kind[k], level[k] = LISTED, ITEM + min(3, len(item.group(1).expandtabs(4)) // 2)
+        elif MARKUP.match(raw, at):
+            kind[k], level[k] = MARKED, BLOCK
+        elif raw[at] in b" \t":
+            kind[k] = INDENTED
+    if opened >= 0:
+        fences.append((opened, text_end(of)))
+    full = np.flatnonzero(~empty)
+    after_blank = np.concatenate([[False], empty[:-1]]) if len(empty) else empty
+    before = np.full(len(lines), PLAIN, np.int8)  # the kind of the last line that isn't empty
+    before[full[1:]] = kind[full[:-1]]
+    in_list = (before == LISTED) | (before == INDENTED)
+    level[(kind == TABLE) & ((before != TABLE) | after_blank)] = BLOCK
+    level[after_blank & (kind == PLAIN)] = BLOCK
+    level[after_blank & (kind == INDENTED)] = np.where(in_list[after_blank & (kind == INDENTED)], INNER, BLOCK)
+    level[after_blank & (kind == LISTED) & ~in_list] = BLOCK
+    for begin, end in fences:
+        level[begin + 1 : end] = np.where(after_blank[begin + 1 : end], INNER, LINE)
+        level[begin] = min(level[begin], BLOCK)
+        if end < len(level):
+            level[end] = min(level[end], BLOCK)
+    return level, empty
+
+
+def boundaries(raw: bytes, texts: np.ndarray) -> list[np.ndarray]:
+    """Per level from h1 to word, the byte places where a piece may begin. ``texts``: where the texts begin in ``raw``."""
     byte = np.frombuffer(raw, np.uint8)
     none = np.zeros(0, np.int64)
     if not len(byte):
@@ -55,21 +113,7 @@ def boundaries(raw: bytes) -> list[np.ndarray]:
     back[:-1] &= ~newline[1:]  # of a pair the second byte ends the line
     lines = np.flatnonzero(newline | back) + 1
     lines = lines[lines < len(byte)]
-    first = byte[lines]
-    empty = (first == 10) | (first == 13)
-    level = np.full(len(lines), 3, np.int8)
-    for k in np.flatnonzero(SPECIAL[first]).tolist():
-        at = int(lines[k])
-        if EMPTY.match(raw, at):
-            empty[k] = True
-        elif SECTION.match(raw, at):
-            level[k] = 0
-        elif BLOCK.match(raw, at):
-            level[k] = 1
-        elif ITEM.match(raw, at):
-            level[k] = 2
-    after_blank = np.concatenate([[False], empty[:-1]])
-    level[after_blank & (level > 1)] = 1
+    level, empty = _line_levels(raw, lines, byte[lines], texts)
     lines, level = lines[~empty], level[~empty]
     gap = GAP[byte]
     starts = np.flatnonzero(gap[:-1] & ~gap[1:]) + 1  # a word begins after the blanks
@@ -80,20 +124,24 @@ def boundaries(raw: bytes) -> list[np.ndarray]:
     if (byte >= 0xE3).any():
         wide = lambda marks: np.array([m.end() for m in re.finditer("|".join(marks).encode(), raw)], np.int64)
         sentence, clause = np.union1d(sentence, wide(WIDE_SENTENCE_END)), np.union1d(clause, wide(WIDE_CLAUSE_END))
-    return [*(lines[level == k] for k in range(4)), sentence, clause, starts]
+    return [*(lines[level == k] for k in range(LINE + 1)), sentence, clause, starts]
 
 
 class Text:
     """A text with its token places and, per level, the places (in tokens) where it may be cut."""
 
-    def __init__(self, raw: bytes, ends: np.ndarray, whole: np.ndarray, levels: list[np.ndarray], vocabulary: str) -> None:
+    def __init__(self, raw: bytes, ends: np.ndarray, whole: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray, int, int]], vocabulary: str) -> None:
         self.raw, self.ends, self.n, self.vocabulary = raw, ends, len(ends) - 1, vocabulary
         self.whole = np.flatnonzero(whole)  # places between characters
         self._levels, self._lists = levels, {}
 
     def cuts(self, level: int) -> list[int]:
         if level not in self._lists:
-            places = self._levels[level] if level < CHARACTER else self.whole
+            if level < CHARACTER:
+                at, cut, i, first = self._levels[level]
+                places = at[cut[i] : cut[i + 1]] - first
+            else:
+                places = self.whole
             self._lists[level] = places[(places > 0) & (places < self.n)].tolist()
         return self._lists[level]
 
@@ -118,35 +166,58 @@ class Text:
 
 
 def pack(text: Text, limit: int, overlap: int) -> list[tuple[int, int, str]]:
-    """(begin, end, boundary) of the pieces, in tokens; ``boundary`` is the level of the cut at the end."""
-    out: list[tuple[int, int, str]] = []
-    begin = fresh = 0  # where the piece begins, and what no earlier piece holds
-    while text.n - begin > limit or text.size(begin, text.n) > limit:
-        end, level = _siblings(text, fresh, min(begin + limit, text.n - 1), limit - overlap)
-        while end - fresh > 1 and text.size(begin, end) > limit:
-            end, level = _siblings(text, fresh, end - 1, limit - overlap)
-        out.append((begin, end, LEVELS[level]))
-        begin, fresh = text.char_place(end - overlap), end
-    return [*out, (begin, text.n, "end")]
-
-
-def _siblings(text: Text, fresh: int, room: int, capacity: int) -> tuple[int, int]:
-    """The end of the subtrees after ``fresh`` that can be merged without passing ``room``, and its level.
+    """(begin, end, boundary) of the pieces, in tokens; ``boundary`` is the level of the cut at the end.
 
-    At each level the last subtree that ends in reach is taken along; the one that follows stays whole if it
-    fits a piece, else the search descends into it. A character that alone passes ``room`` is taken whole.
+    A heading, or what else stands before the first child, goes with that child if the two don't fit a piece. The
+    first piece has at least ``overlap`` tokens.
     """
-    at, best, following = fresh, CHARACTER, text.n
-    for level in range(len(LEVELS)):
-        cuts = text.cuts(level)
-        k = bisect_right(cuts, room)
-        if k and cuts[k - 1] > at:
-            at, best = cuts[k - 1], level
-        if k < len(cuts):
-            following = min(following, cuts[k])
-        if at > fresh and following - at <= capacity:
-            break
-    return (at, best) if at > fresh else (following, CHARACTER)
+    out: list[tuple[int, int, str]] = []
+    begin = 0
+
+    def take(end: int, boundary: str) -> None:
+        nonlocal begin
+        if out or end >= overlap or end == text.n:
+            out.append((begin, end, boundary))
+            begin = text.char_place(end - overlap)
+
+    def fits(end: int) -> bool:
+        return end - begin <= limit and text.size(begin, end) <= limit
+
+    def descend(a: int, b: int, level: int, boundary: str) -> None:
+        """Pack the node [a, b), which may have children from ``level`` on."""
+        while level <= CHARACTER:
+            cuts = text.cuts(level)
+            i, j = bisect_right(cuts, a), bisect_left(cuts, b)
+            if i < j:
+                break
+            level += 1
+        else:
+            take(b, boundary)
+            return
+        head, at = i, a
+        while True:
+            if fits(b):
+                take(b, boundary)
+                return
+            k = bisect_right(cuts, begin + limit, i, j) - 1
+            while k >= i and not fits(cuts[k]):
+                k -= 1
+            if k == i == head and cuts[k] - begin <= limit // 4 and (cuts[k + 1] if k + 1 < j else b) - cuts[k] > limit - overlap:
+                at, i = cuts[k], k + 1  # the head alone: kept for the piece that follows
+                continue
+            if k >= i:
+                take(cuts[k], LEVELS[level])
+                at, i = cuts[k], k + 1
+                continue
+            last = i == j
+            child = b if last else cuts[i]
+            descend(at, child, level + 1, boundary if last else LEVELS[level])
+            if last:
+                return
+            at, i = child, i + 1
+
+    descend(0, text.n, 0, "end")
+    return out
 
 
 def analysed(contents: list[str], vocabulary: str) -> list[Text]:
@@ -154,19 +225,20 @@ def analysed(contents: list[str], vocabulary: str) -> list[Text]:
     raws = [c.encode("utf-8", "surrogatepass") for c in contents]
     sizes = token_bytes(vocabulary)
     ends = [np.concatenate([[0], np.cumsum(sizes[np.array(encode(c, vocabulary), np.int64)])]) for c in contents]
-    byte_at = np.cumsum([0, *(len(r) + 1 for r in raws)])
+    byte_at = np.cumsum([1, *(len(r) + 1 for r in raws)])
     place_at = np.cumsum([0, *map(len, ends)])
-    joined = b"\n".join(raws) + b"\n"
+    joined = b"\n" + b"\n".join(raws) + b"\n"  # so that every text begins a line
     at_byte = np.concatenate(ends) + np.repeat(byte_at[:-1], np.diff(place_at))
     whole = (np.frombuffer(joined, np.uint8)[at_byte] & 0xC0) != 0x80
     levels = []
-    for places in boundaries(joined):
+    for places in boundaries(joined, byte_at[:-1]):
+        places = places[places < byte_at[-1]]
         at = np.searchsorted(at_byte, places, side="right") - 1  # a blank belongs to the token that begins with it
         at = at[whole[at]]
         at = at[np.concatenate([[True], at[1:] > at[:-1]])] if len(at) else at
         levels.append((at, np.searchsorted(at, place_at)))
     return [
-        Text(raws[i], ends[i], whole[place_at[i] : place_at[i + 1]], [at[cut[i] : cut[i + 1]] - place_at[i] for at, cut in levels], vocabulary)
+        Text(raws[i], ends[i], whole[place_at[i] : place_at[i + 1]], [(at, cut, i, place_at[i]) for at, cut in levels], vocabulary)
         for i in range(len(raws))
     ]
 
@@ -222,7 +294,7 @@ def pieces(documents: DataFrame, limits: DataFrame, key: str = "doc_id", text: s
     n_tokens and overlap_tokens count the text's own tokens; a piece encoded by itself has at most max_tokens as
     well. Pieces are numbered from 1; joined without their overlaps they give the text back. Null and short
     texts give no pieces. The overlap is exact unless that would split a character (then a little more) or the
-    limit leaves no room (an overlap of at least half the limit is refused). No shuffle.
+    limit leaves no room (an overlap over half the limit is refused). No shuffle.
     """
     rows = [(int(r["limit_id"]), int(r["max_tokens"]), int(r["overlap_tokens"] or 0)) for r in limits.where("limit_id is not null and max_tokens is not null").distinct().collect()]
     for _, most, overlap in rows:

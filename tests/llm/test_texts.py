@@ -239,7 +239,7 @@ def test_mixture(spark):
 
 def natural(rng):
     line = lambda: " ".join(rng.choice(["alpha", "beta", "Zorvanil", "selects", "rows", "größe"]) for _ in range(rng.randint(3, 18))) + rng.choice([".", "?", ",", ""])
-    return rng.choice(["\n", "\r\n", "\r"]).join(rng.choice(["", "# Head ", "- ", "1. ", "| a | ", ""]) + line() for _ in range(rng.randint(1, 40)))
+    return rng.choice(["\n", "\r\n", "\r"]).join(rng.choice(["", "# Head ", "## Head ", "- ", "  - ", "1. ", "| a | ", "```\n", "    ", ""]) + line() for _ in range(rng.randint(1, 40)))
 
 
 def test_pieces(spark):
@@ -277,10 +277,36 @@ def test_pieces_cut_at_natural_boundaries(spark):
     text = "\n\n".join(f"# Part {i}\n" + "A sentence about rows. " * 12 for i in range(6))
     frame = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
     got = pieces.pieces(frame, spark.createDataFrame([(1, 80, 0)], "limit_id int, max_tokens int, overlap_tokens int")).orderBy("piece_no").collect()
-    assert [r["boundary"] for r in got] == ["section"] * 5 + ["end"]
+    assert [r["boundary"] for r in got] == ["h1"] * 5 + ["end"]
     assert "".join(r["piece"] for r in got) == text
 
 
+def packed(text, most, overlap=0):
+    (whole,) = pieces.analysed([text], tokens.VOCABULARY)
+    return [(whole.slice(b, e), boundary) for b, e, boundary in pieces.pack(whole, most, overlap)]
+
+
+def test_a_fence_has_no_headings():
+    code = "".join(f"# comment {i}\nvalue = call(one, two, {i})\n" + "\n" * (i % 3 == 2) for i in range(20))
+    text = f"Some words before the code.\n\n```python\n{code}```\n# After\nThe text goes on.\n"
+    got = packed(text, 60)
+    assert "".join(t for t, _ in got) == text and all(b in ("item 4", "line", "h1", "end", "block") for _, b in got)
+    assert [b for t, b in got if t.rstrip().endswith("```")] == ["h1"] and sum(b == "item 4" for _, b in got) > 3
+    unclosed = packed("~~~\n" + code, 60) + packed("# A\n" + "words " * 70, 60)
+    assert not any(b == "h1" for _, b in unclosed)
+
+
+def test_no_piece_joins_the_children_of_two_parents():
+    say = lambda n: "rows and columns of a table " * n + "\n"
+    text = f"# A\n{say(3)}## A1\n{say(6)}## A2\n{say(2)}# C\n{say(2)}# D\n{say(1)}"
+    got = packed(text, 60)
+    assert "".join(t for t, _ in got) == text
+    assert not any("## A2" in t and "# C" in t for t, _ in got) and got[-1][0].startswith("# C")
+    nested = "- one " + "a " * 20 + "\n" + "".join(f"  - part {i} " + "b " * 14 + "\n" for i in range(4)) + "- two " + "c " * 20 + "\n"
+    got = packed(nested, 48)
+    assert "".join(t for t, _ in got) == nested and got[-1][0].startswith("- two") and {b for _, b in got} <= {"item 1", "item 2", "end"}
+
+
 def test_queries_and_sql_have_the_same_names():
     assert set(queries.oracle_sql()) <= set(queries.queries())
     assert all(re.match(r"p\d+_", name) for name in queries.queries())
