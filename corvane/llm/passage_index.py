@@ -1,16 +1,17 @@
 """Evaluation texts leaking into training text (problem 8): a distributed positional inverted index.
 
-The index is partitioned by document: each task turns its documents into the postings (term -> positions) of
-one shard per batch and writes them; positions are global to the shard, documents are set apart by a gap.
-Terms are those of the evaluation texts. For phrases alone, postings are kept in runs of at least ``span``
-consecutive such terms, since a shared passage is a run of that kind; for proximity, all postings are kept, since
-an edited word may break the run. Corpus frequencies of the terms are then summed over all shards, and every window of ``span`` words of an evaluation text is answered from its
-rarest term: its positions, shifted to the window's start, are intersected with the shifted positions of the
-next rarest term, and so on. What is left after the last term are exact phrase matches. No text or posting
-is shuffled; only term counts and matches are.
-
-The evaluation texts are the stated query set. They are read in blocks of at most ``BLOCK_WORDS`` words, so that
-what the tasks hold of them is bounded.
+The index is partitioned by document and written once: each task turns its documents into the postings (term ->
+positions) of one shard per batch; positions are global to the shard, documents are set apart by a gap. Terms are those
+of the evaluation texts, whose number grows far slower than the texts. For phrases alone, postings are kept in runs of
+at least ``span`` consecutive such terms, since a shared passage is a run of that kind; for proximity all are kept,
+since an edited word may break the run. Corpus frequencies of the terms are then summed over all shards, and every
+window of ``span`` words of an evaluation text is answered from its rarest terms: their positions, shifted to the
+window's start, are intersected with the shifted positions of the next rarest term, and so on. For a phrase every
+term must stand at its place; for proximity all but ``slop`` of them must stand at most ``slop`` words out of place.
+No text or posting is shuffled; only terms, their counts and matches are.
+
+The evaluation texts are the stated query set. They are looked up in blocks of at most ``BLOCK_WORDS`` words, so that
+what the tasks hold of them is bounded; all blocks read the same index.
 """
 
 from __future__ import annotations
@@ -21,13 +22,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.staging import stage
 
 #: Words of evaluation text that are searched for at once.
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 500_000
 #: Window positions that are looked up at once.
 AT_ONCE = 1_000_000
 #: Words of a shard after which the next one begins.
@@ -60,7 +62,13 @@ def _pack(**arrays: np.ndarray) -> bytes:
     return out.getvalue()
 
 
-def _post(vocabulary: dict[str, int], span: int, slop: int) -> object:
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = {w for text in batch.column(0).to_pylist() for w in text_words(text)}
+        yield pa.RecordBatch.from_pydict({"term": pa.array(sorted(found), pa.string())})
+
+
+def _post(shared: Broadcast, span: int, slop: int) -> object:
     """Postings of the task's documents: one row per shard. No window reaches over the gap between two documents."""
 
     def shard(ids: list[int], coded: list[np.ndarray]) -> pa.RecordBatch:
@@ -82,7 +90,7 @@ def _post(vocabulary: dict[str, int], span: int, slop: int) -> object:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, coded, held = [], [], 0
-        get = vocabulary.get
+        get = shared.value.get
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if key is None or text is None:
@@ -110,57 +118,54 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Windows:
-    """All windows of ``span`` words of the query texts, each with its words from the rarest on."""
-
-    def __init__(self, texts: list[tuple[int, np.ndarray]], counts: np.ndarray, span: int) -> None:
-        item, first, words = [], [], []
-        for key, coded in texts:
-            n = len(coded) - span + 1
-            if n > 0:
-                item.append(np.full(n, key, np.int64))
-                first.append(np.arange(n))
-                words.append(np.lib.stride_tricks.sliding_window_view(coded, span))
-        self.item = np.concatenate(item) if item else np.zeros(0, np.int64)
-        self.first = np.concatenate(first) if first else np.zeros(0, np.int64)
-        words = np.concatenate(words) if words else np.zeros((0, span), np.int32)
+    """All windows of ``span`` words of the query texts, each with its words from the rarest on.
+
+    ``rare``: the distinct sets of the ``most`` rarest terms of a window, with their places relative to the first one;
+    ``members`` (from ``first_member`` on, ``sizes`` many): the windows of each. Neighbouring windows mostly share theirs.
+    """
+
+    def __init__(self, items: np.ndarray, flat: np.ndarray, offsets: np.ndarray, counts: np.ndarray, span: int, slop: int) -> None:
+        begin = np.repeat(offsets[:-1], np.maximum(0, np.diff(offsets) - span + 1))
+        which = np.repeat(np.arange(len(items)), np.maximum(0, np.diff(offsets) - span + 1))
+        first = np.arange(len(begin)) - np.searchsorted(which, which)
+        words = flat[(begin + first)[:, None] + np.arange(span)]
+        possible = (counts[words] > 0).sum(axis=1) >= span - slop
+        words, self.item, self.first = words[possible], items[which[possible]], first[possible]
         self.shift = np.argsort(counts[words], axis=1, kind="stable").astype(np.int32)
         self.terms = np.take_along_axis(words, self.shift, axis=1)
-        possible = counts[words].min(axis=1) > 0 if len(words) else np.zeros(0, bool)
-        for name in ("item", "first", "shift", "terms"):
-            setattr(self, name, getattr(self, name)[possible])
-
-
-def _offsets(term_at: np.ndarray, anchor: np.ndarray, term: np.ndarray, gap: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray]:
-    """Least and greatest offset from ``anchor``, on the side of ``gap`` and within ``slop`` of it, at which the term
-    stands. Where it doesn't, the least is greater than the greatest."""
-    low, high = np.full(len(anchor), np.iinfo(np.int32).max, np.int32), np.full(len(anchor), np.iinfo(np.int32).min, np.int32)
-    for d in range(-slop, slop + 1):
-        offset = gap + d
-        hit = np.flatnonzero((term_at[anchor + offset] == term) & (offset * gap > 0))
-        low[hit], high[hit] = np.minimum(low[hit], offset[hit]), offset[hit]
-    return low, high
-
-
-def _near(term_at: np.ndarray, anchor: np.ndarray, rare: np.ndarray, slop: int) -> np.ndarray:
-    """Indices of the anchors around which the words of ``rare`` (rows: up to three terms, then the gaps of all but the
-    first) stand in order, each at most ``slop`` words out of its place."""
-    m = (rare.shape[1] + 1) // 2
-    left, ends = np.arange(len(anchor)), []
-    for k in range(1, m):
-        low, high = _offsets(term_at, anchor[left], rare[left, k], rare[left, m + k - 1], slop)
-        found = low <= high
-        left, ends = left[found], [(a[found], b[found]) for a, b in [*ends, (low, high)]]
-    if m == 3:
-        (low1, high1), (low2, high2) = ends
-        left = left[np.where(rare[left, 3] < rare[left, 4], low1 < high2, low2 < high1)]
-    return left
-
-
-def _search(windows: Windows, span: int, slop: int) -> object:
+        self.most = min(span, slop + 2 if slop else 1)
+        key = np.hstack([self.terms[:, : self.most], self.shift[:, : self.most] - self.shift[:, :1]]) if slop else np.arange(len(words))[:, None]
+        _, at, group = np.unique(key, axis=0, return_index=True, return_inverse=True)
+        self.rare, self.gaps = self.terms[at, : self.most], (self.shift[at, : self.most] - self.shift[at, :1]).astype(np.int64)
+        self.members = np.argsort(group.reshape(-1), kind="stable")
+        self.sizes = np.bincount(group.reshape(-1), minlength=len(at))
+        self.first_member = np.cumsum(self.sizes) - self.sizes
+
+
+_LAST: list[tuple[object, Windows]] = []
+
+
+def _windows(shared: Broadcast, span: int, slop: int) -> Windows:
+    """The block's windows, made once per Python worker; only the last block's are kept."""
+    if not _LAST or _LAST[0][0] is not shared.value:
+        _LAST[:] = [(shared.value, Windows(*shared.value, span, slop))]
+    return _LAST[0][1]
+
+
+def _near(term_at: np.ndarray, place: np.ndarray, term: np.ndarray, slop: int) -> np.ndarray:
+    """Whether the term stands at most ``slop`` words from the place."""
+    hit = term_at[place] == term
+    for d in range(1, slop + 1):
+        hit |= (term_at[place - d] == term) | (term_at[place + d] == term)
+    return hit
+
+
+def _search(shared: Broadcast, span: int, slop: int) -> object:
     """Matches of the windows in the task's shards: phrase matches, merged to spans; proximity matches if slop > 0."""
+    # no word that is looked up lies further from its anchor
+    reach = span + slop + 1
 
-    def spans(kind: str, ids: np.ndarray, starts: np.ndarray, window: np.ndarray, at: np.ndarray, width: int) -> pa.RecordBatch:
-        doc = np.searchsorted(starts, at, side="right") - 1
+    def spans(kind: str, windows: Windows, ids: np.ndarray, starts: np.ndarray, window: np.ndarray, at: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
         item, diagonal = windows.item[window], at - windows.first[window]
         order = np.lexsort((at, diagonal, item, doc))
         doc, item, diagonal, at, first = doc[order], item[order], diagonal[order], at[order], windows.first[window][order]
@@ -168,65 +173,67 @@ def _search(windows: Windows, span: int, slop: int) -> object:
         new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (diagonal[1:] != diagonal[:-1]) | (at[1:] > at[:-1] + 1)
         begin = np.flatnonzero(new)
         end = np.append(begin[1:], len(doc))[: len(begin)]
-        size = at[end - 1] - at[begin] + width if len(begin) else np.zeros(0, np.int64)
-        return pa.RecordBatch.from_pydict({"doc_id": ids[doc[begin]], "item_id": item[begin], "match_type": pa.array([kind] * len(begin), pa.string()), "n_words": size.astype(np.int64), "doc_word": (at[begin] - starts[doc[begin]]).astype(np.int64), "item_word": first[begin].astype(np.int64)})
-
-    # neighbouring windows mostly share their rarest words: each such set is looked up once
-    m = min(3, span)
-    rare, group = np.unique(np.hstack([windows.terms[:, :m], windows.shift[:, 1:m] - windows.shift[:, :1]]), axis=0, return_inverse=True) if slop else (windows.terms, np.zeros(0, np.int64))
-    members = np.argsort(group.reshape(-1), kind="stable")
-    sizes = np.bincount(group.reshape(-1), minlength=len(rare))
-    first_member = np.cumsum(sizes) - sizes
-    # no word that is looked up lies further from its anchor
-    reach = span + slop
+        size = at[end - 1] - at[begin] + span if len(begin) else np.zeros(0, np.int64)
+        place = np.maximum(0, at[begin] - starts[doc[begin]])
+        return pa.RecordBatch.from_pydict({"doc_id": ids[doc[begin]], "item_id": item[begin], "match_type": pa.array([kind] * len(begin), pa.string()), "n_words": size.astype(np.int64), "doc_word": place.astype(np.int64), "item_word": first[begin].astype(np.int64)})
+
+    def places(windows: Windows, names: np.ndarray, counts: np.ndarray, positions: np.ndarray, term_at: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Blocks of (set of rare terms, place of its rarest term, position of its k-th term, which stands there) with
+        enough of the set's terms near their places."""
+        begin = np.cumsum(counts) - counts
+        term = windows.rare[:, k]
+        slot = np.minimum(np.searchsorted(names, term), len(names) - 1)
+        have = np.flatnonzero(names[slot] == term)
+        width = counts[slot[have]].astype(np.int64)
+        total = np.cumsum(width)
+        done = 0
+        while done < len(have):
+            upto = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + AT_ONCE, side="right")))
+            w, lists = width[done:upto], slot[have[done:upto]]
+            group = np.repeat(have[done:upto], w)
+            anchor = positions[np.repeat(begin[lists] - np.cumsum(w) + w, w) + np.arange(len(group))].astype(np.int64)
+            done = upto
+            base, misses = anchor - windows.gaps[group, k], np.zeros(len(group), np.int64)
+            for other in range(windows.most):
+                if other != k:
+                    misses += ~_near(term_at, base + windows.gaps[group, other] + reach, windows.rare[group, other], slop)
+                    left = misses <= slop
+                    group, anchor, base, misses = group[left], anchor[left], base[left], misses[left]
+            yield group, base, anchor
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows = _windows(shared, span, slop)
         for batch in batches:
             for blob in batch.column(0).to_pylist():
                 with np.load(io.BytesIO(blob)) as z:
                     names, counts, positions, ids, starts = (z[k] for k in ("names", "counts", "positions", "ids", "starts"))
                 if not len(names) or not len(windows.item):
                     continue
-                ends = np.cumsum(counts)
-                begin = ends - counts
                 # the inverse of the postings: membership of a shifted position in a term's list is one look-up
-                term_at = np.full(int(positions.max()) + 2 * reach + 1, -1, np.int32)
-                term_at[positions + reach] = np.repeat(names, counts)
-                rarest = rare[:, 0]
-                slot = np.minimum(np.searchsorted(names, rarest), len(names) - 1)
-                have = np.flatnonzero(names[slot] == rarest)
-                width = counts[slot[have]]
-                total = np.cumsum(width, dtype=np.int64)
-                done = 0
-                phrases, places = [], []
-                while done < len(have):
-                    upto = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + AT_ONCE, side="right")))
-                    w, lists = width[done:upto].astype(np.int64), slot[have[done:upto]]
-                    window = np.repeat(have[done:upto], w)
-                    offset = np.arange(len(window)) - np.repeat(np.cumsum(w) - w, w)
-                    anchor = positions[np.repeat(begin[lists], w) + offset].astype(np.int64)
-                    done = upto
-                    if slop:
-                        near = _near(term_at, anchor + reach, rare[window], slop)
-                        window, anchor = window[near], anchor[near]
-                        many = sizes[window]
-                        offset = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
-                        window, anchor = members[np.repeat(first_member[window], many) + offset], np.repeat(anchor, many)
-                    at = anchor - windows.shift[window, 0]
-                    if slop:
-                        places.append((window, np.maximum(at, starts[np.searchsorted(starts, anchor, side="right") - 1])))
-                    inside = at >= 0
-                    phrase, start = window[inside], at[inside]
-                    for k in range(1, span):
-                        if not len(phrase):
-                            break
-                        same = term_at[start + windows.shift[phrase, k] + reach] == windows.terms[phrase, k]
-                        phrase, start = phrase[same], start[same]
-                    phrases.append((phrase, start))
-                # runs are merged over all parts of the shard
-                for kind, hits in (("phrase", phrases), ("proximity", places)):
-                    if any(len(h[0]) for h in hits):
-                        yield spans(kind, ids, starts, *(np.concatenate(x) for x in zip(*hits, strict=True)), span)
+                term_at = np.full(int(positions.max()) + 4 * reach + 1, -1, np.int32)
+                term_at[positions + 2 * reach] = np.repeat(names, counts)
+                shifted = term_at[reach:]
+                # of a window with at most slop terms missing, one of the slop + 1 rarest stands near its place
+                found = [x for k in range(min(slop, windows.most - 1) + 1) for x in places(windows, names, counts, positions, shifted, k)]
+                group, base, anchor = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+                _, one = np.unique(np.stack([group, base]), axis=1, return_index=True)
+                group, base, anchor = group[one], base[one], anchor[one]
+                many = windows.sizes[group]
+                window = windows.members[np.repeat(windows.first_member[group] - np.cumsum(many) + many, many) + np.arange(int(many.sum()))]
+                base, anchor = np.repeat(base, many), np.repeat(anchor, many)
+                at, misses, exact = base - windows.shift[window, 0], np.zeros(len(window), np.int64), np.ones(len(window), bool)
+                for k in range(span):
+                    place = at + windows.shift[window, k] + reach
+                    here = shifted[place] == windows.terms[window, k]
+                    misses += ~(_near(shifted, place, windows.terms[window, k], slop) if slop else here)
+                    left = misses <= slop
+                    exact &= here
+                    window, at, anchor, misses, exact = window[left], at[left], anchor[left], misses[left], exact[left]
+                doc = np.searchsorted(starts, anchor, side="right") - 1
+                if exact.any():
+                    yield spans("phrase", windows, ids, starts, window[exact], at[exact], doc[exact])
+                if slop and len(window):
+                    yield spans("proximity", windows, ids, starts, window, at, doc)
 
     return run
 
@@ -235,34 +242,34 @@ def passage_matches(documents: DataFrame, passages: DataFrame, span: int = 12, s
     """Rows (doc_id, item_id, match_type, n_words, doc_word, item_word): runs of words that a document shares
     with an evaluation text.
 
-    "phrase": at least ``span`` consecutive words in both, runs merged to their full length. With ``slop`` > 0
-    also "proximity": places where the three rarest words of a window of ``span`` words stand in order and no
-    more than ``slop`` words out of place; phrases are among them. Texts shorter than ``span`` words and null
-    texts or ids match nothing; equal documents under two ids both match.
+    "phrase": at least ``span`` consecutive words in both, runs merged to their full length. With ``slop`` > 0 also
+    "proximity": a window of ``span`` words of the evaluation text, aligned so that one of its slop + 1 rarest words
+    stands in the document, of which all but at most ``slop`` words stand at most ``slop`` words out of place; phrases are
+    among them. Texts shorter than ``span`` words and null texts or ids match nothing; equal documents under two ids
+    both match.
     """
+    spark = documents.sparkSession
     items = passages.select(F.col(item_id).cast("bigint").alias("item_id"), F.col(text).alias("text")).where("item_id is not null and text is not null").distinct()
+    terms = [r["term"] for r in items.select("text").mapInArrow(_terms, "term string").distinct().collect()]
+    vocabulary = {w: i for i, w in enumerate(sorted(terms))}
+    docs = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    index = stage(docs.mapInArrow(_post(spark.sparkContext.broadcast(vocabulary), span, slop), SHARD), "postings")
+    counts = np.zeros(len(vocabulary) + 1, np.int64)
+    for r in index.select("terms").mapInArrow(_count_terms, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect():
+        counts[r["term"]] = r["n"]
     weight = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
     blocks = int(weight // (4 * BLOCK_WORDS)) + 1
     out = None
     for block in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        found = _block_matches(documents, [(r["item_id"], text_words(r["text"])) for r in part.collect()], span, slop, doc_id, text)
+        coded = [(r["item_id"], np.array([vocabulary[w] for w in text_words(r["text"])], np.int32)) for r in sorted(part.collect())]
+        offsets = np.cumsum([0, *(len(c) for _, c in coded)])
+        told = (np.array([k for k, _ in coded], np.int64), np.concatenate([np.zeros(0, np.int32), *(c for _, c in coded)]), offsets, counts)
+        found = index.select("shard").mapInArrow(_search(spark.sparkContext.broadcast(told), span, slop), MATCH)
         out = found if out is None else out.union(found)
     return out.select(F.col("doc_id"), "item_id", "match_type", "n_words", "doc_word", "item_word")
 
 
-def _block_matches(documents: DataFrame, texts: list[tuple[int, list[str]]], span: int, slop: int, doc_id: str, text: str) -> DataFrame:
-    texts = [(k, w) for k, w in sorted(texts) if len(w) >= span]
-    vocabulary = {w: i for i, w in enumerate(sorted({w for _, words in texts for w in words}))}
-    coded = [(k, np.array([vocabulary[w] for w in words], np.int32)) for k, words in texts]
-    docs = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    index = stage(docs.mapInArrow(_post(vocabulary, span, slop), SHARD), "postings")
-    counts = np.zeros(len(vocabulary) + 1, np.int64)
-    for r in index.select("terms").mapInArrow(_count_terms, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect():
-        counts[r["term"]] = r["n"]
-    return index.select("shard").mapInArrow(_search(Windows(coded, counts, span), span, slop), MATCH)
-
-
 def leaked_items(documents: DataFrame, passages: DataFrame, span: int = 12) -> DataFrame:
     """(doc_id, item_id): documents that share at least ``span`` consecutive words with an evaluation text."""
     return passage_matches(documents, passages, span).select("doc_id", "item_id").distinct()

@@ -129,12 +129,13 @@ def test_proximity_of_edited_passages_against_all_places(spark, monkeypatch):
     want = set()
     for (d, words), (i, told) in itertools.product(docs, items):
         for f in range(len(told) - 11):
-            s = sorted(range(12), key=lambda k: counts[told[f + k]])[:3]
-            at = [[p for p, w in enumerate(words) if w == told[f + k]] for k in s]
-            for p in itertools.product(*at):
-                ordered = all((p[x] < p[y]) == (s[x] < s[y]) and p[x] != p[y] for x, y in ((0, 1), (0, 2), (1, 2)))
-                if ordered and all(abs(p[k] - p[0] - s[k] + s[0]) <= slop for k in (1, 2)):
+            rare = sorted(range(12), key=lambda k: counts[told[f + k]])[: slop + 1]
+            for at in {p - k for p, w in enumerate(words) for k in rare if w == told[f + k]}:
+                near = sum(told[f + k] in words[max(0, at + k - slop) : max(0, at + k + slop + 1)] for k in range(12))
+                if near >= 12 - slop:
                     want.add((d, i))
+    swapped = [(d, i) for d, i in want if not any(told[f : f + 12] == words[p : p + 12] for told in [dict(items)[i]] for words in [dict(docs)[d]] for f in range(len(told) - 11) for p in range(len(words) - 11))]
+    assert swapped
     frame = spark.createDataFrame([(d, " ".join(w)) for d, w in docs], "doc_id bigint, text string").repartition(2)
     passages = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id bigint, text string")
     rows = sorted(tuple(r) for r in passage_index.passage_matches(frame, passages, slop=slop).collect())
@@ -146,6 +147,14 @@ def test_proximity_of_edited_passages_against_all_places(spark, monkeypatch):
     assert sorted(tuple(r) for r in passage_index.passage_matches(frame, passages).collect()) == exact
 
 
+def test_a_passage_with_one_word_changed_is_near(spark):
+    told = [f"w{i}" for i in range(12)]
+    docs = [(1, " ".join(told[:5] + ["other"] + told[6:])), (2, " ".join(told[:5] + told[6:])), (3, " ".join(told[::-1])), (4, " ".join(told[:4] + ["more"] + told[4:])), (5, " ".join(told[:8]) + " a b c d")]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = passage_index.passage_matches(frame, spark.createDataFrame([(7, " ".join(told))], "item_id bigint, text string"), slop=3).collect()
+    assert {(r["doc_id"], r["match_type"]) for r in got} == {(1, "proximity"), (4, "proximity")}  # 2 is shorter than a window
+
+
 def test_percentiles_stay_in_their_bounds(spark):
     rng = random.Random(5)
     rows = []
