@@ -48,6 +48,25 @@ def stage(df: DataFrame, label: str = "stage", by: list[str] | None = None) -> D
     return made
 
 
+def open_shared(path: str) -> object:
+    """A file of the shared folder, opened for reading by a Python worker: through pyarrow under the names that Hadoop
+    gives its file systems, or through fsspec where pyarrow doesn't know one."""
+    from pyarrow.fs import FileSystem, FSSpecHandler, PyFileSystem
+
+    scheme, _, name = path.partition(":")
+    if scheme == "dbfs":
+        path = "/dbfs/" + name.lstrip("/")
+    elif scheme in ("s3a", "s3n"):
+        path = "s3:" + name
+    try:
+        files, name = FileSystem.from_uri(path)
+    except ValueError:
+        import fsspec
+
+        files, name = PyFileSystem(FSSpecHandler(fsspec.filesystem(scheme))), path
+    return files.open_input_file(name)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
