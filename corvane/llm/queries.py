@@ -51,6 +51,10 @@ def p5_counts(spark: SparkSession, folder: str) -> DataFrame:
     return text_index.cross_split_counts(_table(spark, folder, "train_contaminated"))
 
 
+def p5_spans(spark: SparkSession, folder: str) -> DataFrame:
+    return text_index.cross_split_spans(_table(spark, folder, "train_contaminated"))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return radix_groups.formatting_copies(_table(spark, folder, "mock_spider"), _table(spark, folder, "mock_spider_raw")).where("n_copies > 1")
 
@@ -80,7 +84,7 @@ def p10_pieces(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_splits, p2_found, p2_groups, p3_latency, p4_found, p5_found, p5_counts, p6_found, p7_sample, p8_found, p8_matches, p9_mixture, p9_shares, p10_pieces)}
+    return {f.__name__: f for f in (p1_found, p1_splits, p2_found, p2_groups, p3_latency, p4_found, p5_found, p5_counts, p5_spans, p6_found, p7_sample, p8_found, p8_matches, p9_mixture, p9_shares, p10_pieces)}
 
 
 _BUCKET = """

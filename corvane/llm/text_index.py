@@ -1,15 +1,17 @@
 """Compressed full-text index of evaluation shards (problem 5).
 
-The evaluation texts of a shard are one sequence of word symbols, a separator after each text. The index
-keeps the Burrows-Wheeler transform of that sequence with the symbols' counts (an FM-index); rank queries
-are binary searches, so all texts of a batch step through backward search together. Shards are of bounded
-size and written to the shared folder; every task streams its training texts past each of them.
-
-A training text is searched from its rarest words: with a bound t on the similarity, any partner of m words
-holds one of the text's n - a(n, m) + 1 rarest ones, a(n, m) being the words the two must share. Each such
-word's interval lists the texts that hold it, ordered by length, so that only those of a length that can
-still reach t are looked at; each of these is counted exactly. Longer backward steps give the maximal
-matches, whose merged spans measure how much of the text recurs word for word.
+The evaluation texts of a shard are one sequence of word symbols, a separator after each text. The index is that
+sequence's compressed suffix array: per symbol the increasing places of the suffixes that follow it (the inverse of
+the Burrows-Wheeler transform's ranks), on disk as packed differences, in memory one 32-bit number a symbol. A step of
+backward search is a binary search in a symbol's part, done for all texts of a batch together. The text that a suffix
+belongs to is found by walking on to a sampled suffix. Shards are of bounded size and written to the shared folder;
+every task streams blocks of its training texts past each of them.
+
+Pairs: with a bound t on the similarity, any partner of m words holds one of a text's n - a(n, m) + 1 rarest words,
+a(n, m) being the words the two must share. The intervals of a block's words are located, so the texts behind the
+rarest of them are the candidates and the merged counts of all of them the exact number of shared words. Spans: longer
+backward steps give the maximal matches of a text per group of evaluation texts; they are merged to the spans that
+recur word for word.
 """
 
 from __future__ import annotations
@@ -26,10 +28,13 @@ from pyspark.sql import functions as F
 
 from corvane.functions.words import BLANKS, strip, word_hashes
 from corvane.llm.radix_groups import sql_key
-from corvane.staging import stage
+from corvane.staging import open_shared, stage
 
-#: Symbols a shard holds at most (a single longer text makes a shard of its own) and candidate pairs looked at at once.
-SHARD_SYMBOLS, AT_ONCE = 2_000_000, 1_000_000
+#: Symbols a shard holds at most (a single longer text makes a shard of its own), symbols of training text that a task
+#: holds while the shards pass, and candidate pairs looked at at once.
+SHARD_SYMBOLS, HELD_SYMBOLS, AT_ONCE = 2_000_000, 2_000_000, 1_000_000
+#: Every so many places of the texts the suffix is sampled; words of the shortest span.
+SAMPLE, SPAN = 4, 5
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -54,8 +59,8 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
 
 
 class TextIndex:
-    """FM-index over texts given as flat 64-bit word hashes with offsets. Texts are kept in order of their
-    number of distinct words."""
+    """Compressed suffix array over texts given as flat 64-bit word hashes with offsets. Texts are kept in order of
+    their number of distinct words; ``names`` may repeat."""
 
     def __init__(self, words: np.ndarray, offsets: np.ndarray, names: list[str]) -> None:
         docs = len(offsets) - 1
@@ -67,30 +72,34 @@ class TextIndex:
         parts = [np.append(np.searchsorted(self.vocabulary, words[offsets[i] : offsets[i + 1]]) + 1, 0) for i in by_size]
         text = np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)
         order = suffix_array(text)
-        self.bwt = text[order - 1].astype(np.int32)
+        n = len(text)
+        row = np.empty(n, np.int64)
+        row[order] = np.arange(n)
+        self.psi = row[(order + 1) % max(1, n)].astype(np.int32)
+        self.below = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(self.vocabulary) + 1))]).astype(np.int64)
         holder = np.repeat(np.arange(docs), [len(p) for p in parts])
-        held = np.unique(text * docs + holder) if docs else np.zeros(0, np.int64)
-        self.listing = held[held >= docs]  # (symbol, text) pairs sorted: the texts of each symbol's interval
-        self._ranks()
+        sampled = (order % SAMPLE == 0) | (text[order] == 0)
+        self.sampled, self.holders = sampled, holder[order[sampled]].astype(np.int32)
+        self._ready()
 
-    def _ranks(self) -> None:
-        n, v = len(self.bwt), len(self.vocabulary) + 1
-        self.below = np.concatenate([[0], np.cumsum(np.bincount(self.bwt, minlength=v))]).astype(np.int64)
-        self.occurrences = np.sort(self.bwt.astype(np.int64) * (n + 1) + np.arange(n))
-        self.spread = np.bincount(self.listing // max(1, len(self.names)), minlength=v)
+    def _ready(self) -> None:
+        self.sample_rank = np.cumsum(self.sampled, dtype=np.int32) - self.sampled
 
     def dump(self) -> bytes:
         out = io.BytesIO()
-        np.savez(out, vocabulary=self.vocabulary, bwt=self.bwt, listing=self.listing, sizes=self.sizes, names=np.array([x.encode() for x in self.names], "S"))
+        steps = np.diff(self.psi, prepend=0).astype(np.int32)
+        np.savez(out, vocabulary=self.vocabulary, steps=steps, below=self.below, sampled=np.packbits(self.sampled), holders=self.holders, sizes=self.sizes, names=np.array([x.encode() for x in self.names], "S"))
         return zstandard.compress(out.getvalue())
 
     @classmethod
     def load(cls, blob: bytes) -> TextIndex:
         index = cls.__new__(cls)
         with np.load(io.BytesIO(zstandard.decompress(blob))) as z:
-            index.vocabulary, index.bwt, index.listing, index.sizes = z["vocabulary"], z["bwt"], z["listing"], z["sizes"]
+            index.vocabulary, index.below, index.holders, index.sizes = z["vocabulary"], z["below"], z["holders"], z["sizes"]
+            index.psi = np.cumsum(z["steps"], dtype=np.int32)
+            index.sampled = np.unpackbits(z["sampled"], count=len(index.psi)).view(bool)
             index.names = np.array([x.decode() for x in z["names"]], object)
-        index._ranks()
+        index._ready()
         return index
 
     def symbols(self, words: np.ndarray) -> np.ndarray:
@@ -98,31 +107,67 @@ class TextIndex:
         at = np.minimum(np.searchsorted(self.vocabulary, words), max(0, len(self.vocabulary) - 1))
         return np.where(self.vocabulary[at] == words, at + 1, 0) if len(self.vocabulary) else np.zeros(len(words), np.int64)
 
+    def _seek(self, low: np.ndarray, high: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """The first row in [low, high) of a symbol's part whose suffix goes on at ``target`` or behind it."""
+        low, high = low.copy(), high.copy()
+        live = np.flatnonzero(low < high)
+        while len(live):
+            middle = (low[live] + high[live]) >> 1
+            less = self.psi[middle] < target[live]
+            low[live[less]] = middle[less] + 1
+            high[live[~less]] = middle[~less]
+            live = live[low[live] < high[live]]
+        return low
+
     def step(self, low: np.ndarray, high: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Backward search by one symbol: the intervals of the suffixes that begin with it."""
-        n = len(self.bwt)
-        base = self.below[symbol]
-        rank = lambda at: np.searchsorted(self.occurrences, symbol * (n + 1) + at) - base
-        return base + rank(low), base + rank(high)
-
-    def maximal_matches(self, symbols: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """For each position of the flat texts, the length of the longest match that ends there."""
-        n = len(symbols)
+        """Backward search by one symbol: the intervals of the suffixes that begin with it and go on in [low, high)."""
+        begin, end = self.below[symbol], self.below[symbol + 1]
+        first = self._seek(begin, end, low)
+        return first, self._seek(first, end, high)
+
+    def located(self, rows: np.ndarray) -> np.ndarray:
+        """The texts that the suffixes of ``rows`` belong to."""
+        rows = rows.astype(np.int64)
+        live = np.flatnonzero(~self.sampled[rows])
+        while len(live):
+            rows[live] = self.psi[rows[live]]
+            live = live[~self.sampled[rows[live]]]
+        return self.holders[self.sample_rank[rows]].astype(np.int64)
+
+    def listing(self, symbols: np.ndarray) -> np.ndarray:
+        """Sorted symbol * number of texts + text, without repeats: the texts behind the intervals of the given symbols."""
+        known = np.unique(symbols)
+        known = known[known > 0]
+        begin, width = self.below[known], self.below[known + 1] - self.below[known]
+        at = np.arange(int(width.sum())) - np.repeat(np.cumsum(width) - width - begin, width)
+        return np.unique(np.repeat(known, width) * len(self.names) + self.located(at))
+
+    def maximal_matches(self, symbols: np.ndarray, offsets: np.ndarray, least: int = 1, groups: list[np.ndarray] | None = None) -> np.ndarray:
+        """For each group and each position of the flat texts, the length of the longest match that ends there, of at
+        least ``least`` words. ``groups``: sorted rows of suffixes, by default one group of all."""
         first = np.repeat(offsets[:-1], np.diff(offsets))
-        length = np.zeros(n, np.int64)
+        length = np.zeros((len(groups or [0]), len(symbols)), np.int64)
         live = np.flatnonzero(symbols > 0)
-        low, high, at = self.below[symbols[live]], self.below[symbols[live] + 1], live.copy()
+        low, high, at, k = self.below[symbols[live]], self.below[symbols[live] + 1], live.copy(), 1
         while len(live):
-            length[live] += 1
+            if k >= least:
+                for g, rows in enumerate(groups or [None]):
+                    some = slice(None) if rows is None else np.searchsorted(rows, low) < np.searchsorted(rows, high)
+                    length[g, live[some]] = k
             at = at - 1
             go = at >= first[live]
             go[go] = symbols[at[go]] > 0
             live, low, high, at = live[go], low[go], high[go], at[go]
             low, high = self.step(low, high, symbols[at])
             some = low < high
-            live, low, high, at = live[some], low[some], high[some], at[some]
+            live, low, high, at, k = live[some], low[some], high[some], at[some], k + 1
         return length
 
+    def rows_by_name(self) -> dict[str, np.ndarray]:
+        """The sorted rows of the suffixes of each name's texts."""
+        of = self.located(np.arange(len(self.psi)))
+        return {name: np.flatnonzero((self.names == name)[of]) for name in sorted(set(self.names))}
+
     def similar(self, words: np.ndarray, offsets: np.ndarray, t: Fraction) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Blocks of (row, text, shared words) of all pairs of a similarity of at least t."""
         docs = len(self.names)
@@ -135,7 +180,8 @@ class TextIndex:
         new[1:] = (row[1:] != row[:-1]) | (words[1:] != words[:-1])
         row, words = row[new], words[new]
         symbol = self.symbols(words)
-        spread = np.where(symbol > 0, self.spread[symbol], 0)
+        listing = self.listing(symbol)
+        spread = np.where(symbol > 0, self.below[symbol + 1] - self.below[symbol], 0)
         order = np.lexsort((symbol, spread, row))
         row, symbol = row[order], symbol[order]
         count = np.bincount(row, minlength=len(offsets) - 1)
@@ -148,8 +194,8 @@ class TextIndex:
         high = np.searchsorted(self.sizes, longest, side="right")
         keep = (symbol > 0) & (high > low)
         row_s, sym_s, place_s = row[keep], symbol[keep], place[keep]
-        a = np.searchsorted(self.listing, sym_s * docs + low[keep])
-        b = np.searchsorted(self.listing, sym_s * docs + high[keep])
+        a = np.searchsorted(listing, sym_s * docs + low[keep])
+        b = np.searchsorted(listing, sym_s * docs + high[keep])
         width = b - a
         ends = np.cumsum(width)
         done = 0
@@ -158,13 +204,13 @@ class TextIndex:
             w, r = width[done:upto], row_s[done:upto]
             seed = np.repeat(np.arange(len(w)), w)
             at = np.arange(len(seed)) - np.repeat(np.cumsum(w) - w, w) + np.repeat(a[done:upto], w)
-            text = self.listing[at] % docs
+            text = listing[at] % docs
             for k in range(0, len(seed), AT_ONCE):
                 s, d = seed[k : k + AT_ONCE], text[k : k + AT_ONCE]
-                yield self._verify(r[s], place_s[done:upto][s], d, symbol, start, count, p, q)
+                yield self._verify(listing, r[s], place_s[done:upto][s], d, symbol, start, count, p, q)
             done = upto
 
-    def _verify(self, row: np.ndarray, place: np.ndarray, text: np.ndarray, symbol: np.ndarray, start: np.ndarray, count: np.ndarray, p: int, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _verify(self, listing: np.ndarray, row: np.ndarray, place: np.ndarray, text: np.ndarray, symbol: np.ndarray, start: np.ndarray, count: np.ndarray, p: int, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Count the shared words of each candidate; a pair counts at the rarest word it shares."""
         docs = len(self.names)
         shared = np.zeros(len(row), np.int64)
@@ -175,8 +221,8 @@ class TextIndex:
             live = live[count[row[live]] > k]
             sym = symbol[start[row[live]] + k]
             key = sym * docs + text[live]
-            at = np.minimum(np.searchsorted(self.listing, key), len(self.listing) - 1)
-            has = (sym > 0) & (self.listing[at] == key)
+            at = np.minimum(np.searchsorted(listing, key), len(listing) - 1)
+            has = (sym > 0) & (listing[at] == key)
             dup = has & (k < place[live])
             shared[live[has]] += 1
             k += 1
@@ -188,18 +234,13 @@ class TextIndex:
         return row[good], text[good], shared[good]
 
 
-def merged_spans(length: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Per text, the longest maximal match and the number of words that maximal matches of two or more words cover."""
-    n, rows = len(length), len(offsets) - 1
-    row = np.repeat(np.arange(rows), np.diff(offsets))
-    longest = np.zeros(rows, np.int64)
-    np.maximum.at(longest, row, length)
-    delta = np.zeros(n + 1, np.int64)
-    ends = np.flatnonzero(length >= 2)
+def covered(length: np.ndarray) -> np.ndarray:
+    """Mask of the positions in the matches that end at each position with the given lengths: the merged spans."""
+    delta = np.zeros(len(length) + 1, np.int64)
+    ends = np.flatnonzero(length > 0)
     np.add.at(delta, ends - length[ends] + 1, 1)
     np.add.at(delta, ends + 1, -1)
-    covered = np.bincount(row, weights=np.cumsum(delta[:-1]) > 0, minlength=rows).astype(np.int64) if n else np.zeros(rows, np.int64)
-    return longest, covered
+    return np.cumsum(delta[:-1]) > 0
 
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -240,51 +281,84 @@ def build_index(texts: DataFrame, symbols: int | None = None) -> DataFrame:
     """
     total = symbols or texts.agg(F.sum(F.size("words") + 1)).first()[0] or 0
     parts = int(total // SHARD_SYMBOLS) + 1
-    spread = texts.select("cls", "kind", "words").repartition(parts, "cls").sortWithinPartitions("kind")
+    spread = texts.select("cls", "kind", "words").repartition(parts, "words").sortWithinPartitions("kind")
     return stage(spread.mapInArrow(_build, "kind string, shard binary"), "index")
 
 
-def _stream(paths: list[str], t: tuple[int, int]) -> object:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.parquet as pq
-        from pyarrow.fs import FileSystem
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The task's texts in blocks of HELD_SYMBOLS symbols."""
+    held, symbols = [], 0
+    for batch in batches:
+        held.append(batch)
+        symbols += len(batch.column("words").values)
+        if symbols >= HELD_SYMBOLS:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, symbols = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
 
-        held = [b for b in batches if b.num_rows]
-        for path in paths if held else []:
-            files, name = FileSystem.from_uri(path)
-            table = pq.ParquetFile(files.open_input_file(name))
+def _shards(paths: list[str]) -> Iterator[tuple[str, TextIndex]]:
+    import pyarrow.parquet as pq
+
+    for path in paths:
+        with open_shared(path) as file:
+            table = pq.ParquetFile(file)
             for group in range(table.num_row_groups):
                 for row in table.read_row_group(group).to_pylist():
-                    index = TextIndex.load(row["shard"])
-                    for batch in held:
-                        kinds = np.array(batch.column("kind").to_pylist(), object)
-                        pick = np.flatnonzero(kinds == row["kind"])
-                        if not len(pick):
-                            continue
-                        part = batch.take(pa.array(pick))
-                        flat, offsets = _flat(part.column("words"))
-                        longest, covered = merged_spans(index.maximal_matches(index.symbols(flat), offsets), offsets)
-                        names = np.array(part.column("cls").to_pylist(), object)
-                        sizes = np.array([len(np.unique(flat[offsets[i] : offsets[i + 1]])) for i in range(len(names))], np.int64)
-                        for r, d, shared in index.similar(flat, offsets, Fraction(*t)):
-                            yield pa.RecordBatch.from_pydict({"a": pa.array(names[r], pa.string()), "b": pa.array(index.names[d], pa.string()), "kind": pa.array([row["kind"]] * len(r), pa.string()), "similarity": shared / (sizes[r] + index.sizes[d] - shared), "longest_match": longest[r], "covered_words": covered[r]})
+                    yield row["kind"], TextIndex.load(row["shard"])
+
+
+def _stream_pairs(paths: list[str], t: tuple[int, int]) -> object:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(b for b in batches if b.num_rows):
+            kinds = np.array(block.column("kind").to_pylist(), object)
+            parts = {}
+            for kind in sorted(set(kinds)):
+                part = block.take(pa.array(np.flatnonzero(kinds == kind))).combine_chunks().to_batches()[0]
+                parts[kind] = (*_flat(part.column("words")), np.array(part.column("cls").to_pylist(), object))
+            for kind, index in _shards(paths):
+                if kind in parts:
+                    flat, offsets, names = parts[kind]
+                    for r, d, shared in index.similar(flat, offsets, Fraction(*t)):
+                        yield pa.RecordBatch.from_pydict({"a": pa.array(names[r], pa.string()), "b": pa.array(index.names[d], pa.string()), "kind": pa.array([kind] * len(r), pa.string()), "shared": shared})
 
     return run
 
 
-MATCH = "a string, b string, kind string, similarity double, longest_match bigint, covered_words bigint"
+def _stream_spans(paths: list[str], least: int) -> object:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(b for b in batches if b.num_rows):
+            (part,) = block.to_batches()
+            flat, offsets = _flat(part.column("words"))
+            row = np.repeat(np.arange(part.num_rows), np.diff(offsets))
+            names = np.array(part.column("cls").to_pylist(), object)
+            for _, index in _shards(paths):
+                groups = index.rows_by_name()
+                matches = index.maximal_matches(index.symbols(flat), offsets, least, list(groups.values()))
+                for group, length in zip(groups, matches, strict=True):
+                    at = np.flatnonzero(covered(length))
+                    if len(at):
+                        yield pa.RecordBatch.from_pydict({"cls": pa.array(names[row[at]], pa.string()), "grp": pa.array([group] * len(at), pa.string()), "place": at - offsets[row[at]], "match": length[at]})
+
+    return run
 
 
 def stream_index(texts: DataFrame, index: DataFrame, threshold: str = "0.7") -> DataFrame:
     """Pairs of ``texts`` (cls, kind, words) and indexed texts of the same kind with a word similarity of at
-    least ``threshold``: (a, b, kind, similarity, longest_match, covered_words).
-
-    The two last columns tell the longest run of words, and the words in runs of two or more, of text ``a``
-    that recur in the shard of ``b``. A task holds its own texts and one shard at a time.
-    """
+    least ``threshold``: (a, b, kind, shared). A task holds a block of its texts and one shard at a time."""
     t = Fraction(threshold)
-    paths = index.inputFiles()
-    return texts.select("cls", "kind", "words").mapInArrow(_stream(paths, (t.numerator, t.denominator)), MATCH)
+    return texts.select("cls", "kind", "words").mapInArrow(_stream_pairs(index.inputFiles(), (t.numerator, t.denominator)), "a string, b string, kind string, shared bigint")
+
+
+def stream_spans(texts: DataFrame, index: DataFrame, least: int = SPAN) -> DataFrame:
+    """(cls, grp, spans, words, longest): the merged spans of ``texts`` (cls, words) that recur word for word, ``least``
+    words or more at a time, among the indexed texts of each name; the words in them and the longest match."""
+    found = texts.select("cls", "words").mapInArrow(_stream_spans(index.inputFiles(), least), "cls string, grp string, place bigint, match bigint")
+    one = found.groupBy("cls", "grp", "place").agg(F.max("match").alias("match"))  # a group may stand in several shards
+    places = one.groupBy("cls", "grp").agg(F.collect_set("place").alias("at"), F.max("match").alias("longest"))  # no more than the text's words
+    begins = F.size(F.filter("at", lambda p: ~F.array_contains("at", p - 1)))
+    return places.select("cls", "grp", begins.cast("bigint").alias("spans"), F.size("at").cast("bigint").alias("words"), "longest")
 
 
 def sided_records(records: DataFrame) -> DataFrame:
@@ -330,3 +404,17 @@ def cross_split_counts(records: DataFrame, threshold: str = "0.7") -> DataFrame:
     return evaluation.groupBy("split", "dataset_name", "kind").agg(F.count_distinct("id").alias("n_records"), F.count_distinct(F.when(F.col("hit") == 1, F.col("id"))).alias("n_leaked"))
 
 
+def cross_split_spans(records: DataFrame, least: int = SPAN) -> DataFrame:
+    """(split, dataset_name, n_records, n_spans, n_words, longest): for each split and dataset of evaluation records, the
+    training records (ids) with spans of ``least`` or more words of their question that recur in its questions, the
+    number of these spans and of their words, and the longest match. Groups without any span have no row."""
+    sided = sided_records(records).withColumn("words", word_hashes(F.col("question"))).where(F.size("words") > 0)
+    group = F.to_json(F.struct("split", "dataset_name"))
+    texts = sided.where("side = 'eval'").select(group.alias("cls"), F.lit("q").alias("kind"), "words").distinct()
+    index = build_index(stage(texts, "eval"))
+    train = stage(sided.where("side = 'train'").select("id", F.md5(F.concat_ws(",", F.col("words").cast("array<string>"))).alias("cls"), "words"), "train")
+    found = stream_spans(train.dropDuplicates(["cls"]), index, least)
+    copies = train.groupBy("cls").agg(F.count_distinct("id").alias("c"))
+    of_group = F.from_json("grp", "split string, dataset_name string")
+    totals = found.join(copies, "cls").groupBy("grp").agg(F.sum("c").alias("n_records"), F.sum(F.col("spans") * F.col("c")).alias("n_spans"), F.sum(F.col("words") * F.col("c")).alias("n_words"), F.max("longest").alias("longest"))
+    return totals.select(of_group["split"].alias("split"), of_group["dataset_name"].alias("dataset_name"), "n_records", "n_spans", "n_words", "longest")

@@ -158,7 +158,11 @@ def test_suffix_array_and_backward_search():
     offsets = np.concatenate([[0], np.cumsum([len(d) for d in docs])])
     index = text_index.TextIndex.load(text_index.TextIndex(np.concatenate(docs), offsets, [f"d{i}" for i in range(40)]).dump())
     pattern = rng.integers(99, 106, size=30)
-    got = index.maximal_matches(index.symbols(pattern), np.array([0, 12, 12, 30]))
+    (got,) = index.maximal_matches(index.symbols(pattern), np.array([0, 12, 12, 30]))
+    order = np.argsort([len(set(d)) for d in docs], kind="stable")
+    for word in range(100, 106):
+        listed = index.listing(index.symbols(np.array([word, 99])))
+        assert [index.names[i] for i in listed % 40] == [f"d{i}" for i in order if word in docs[i]]
 
     def holds(part):
         return any(tuple(part) == tuple(d[i : i + len(part)]) for d in docs for i in range(len(d) - len(part) + 1))
@@ -171,8 +175,34 @@ def test_suffix_array_and_backward_search():
 
 
 def test_merged_spans():
-    longest, covered = text_index.merged_spans(np.array([1, 2, 3, 0, 1, 2]), np.array([0, 4, 6]))
-    assert longest.tolist() == [3, 2] and covered.tolist() == [3, 2]
+    assert text_index.covered(np.array([0, 2, 3, 0, 0, 2])).tolist() == [True, True, True, False, True, True]
+
+
+@pytest.mark.parametrize("shard", [2_000_000, 40])
+def test_cross_split_spans_against_all_runs(spark, monkeypatch, shard):
+    monkeypatch.setattr(text_index, "SHARD_SYMBOLS", shard)
+    rng = random.Random(31)
+    say = lambda: [f"w{min(rng.randrange(9), rng.randrange(9))}" for _ in range(rng.randint(1, 20))]
+    rows = [(f"i{k:03}", " ".join(say()), None, None, rng.choice(["x", "y", None]), rng.choice(["train", "train", "dev", "Test ", None]), "clash") for k in range(60)]
+    rows += [("j1", rows[0][1], None, None, "x", "train", "clash"), ("j2", None, None, None, "x", "train", "clash")]
+    want = {}
+    for split, name in {((r[5] or "").strip().lower(), r[4]) for r in rows if (r[5] or "").strip().lower() in ("dev", "test")}:
+        texts = [r[1].split() for r in rows if (r[5] or "").strip().lower() == split and r[4] == name]
+        runs = {tuple(t[i : i + k]) for t in texts for i in range(len(t)) for k in range(3, len(t) - i + 1)}
+        found = []
+        for r in rows:
+            if r[5] == "train" and r[1]:
+                t = r[1].split()
+                hit = [(i, k) for i in range(len(t)) for k in range(3, len(t) - i + 1) if tuple(t[i : i + k]) in runs]
+                at = sorted({p for i, k in hit for p in range(i, i + k)})
+                if at:
+                    found.append((sum(p - 1 not in at for p in at), len(at), max(k for _, k in hit)))
+        if found:
+            want[(split, name)] = (len(found), sum(f[0] for f in found), sum(f[1] for f in found), max(f[2] for f in found))
+    df = spark.createDataFrame(rows + rows[:4], RECORD)
+    got = {(r["split"], r["dataset_name"]): (r["n_records"], r["n_spans"], r["n_words"], r["longest"]) for r in text_index.cross_split_spans(df, 3).collect()}
+    assert got == want and want
+    assert text_index.cross_split_spans(df.limit(0)).count() == 0
 
 
 RECORD = "id string, question string, db_id string, gold_sql string, dataset_name string, split string, side string"
@@ -196,6 +226,7 @@ def test_cross_split_pairs_against_all_pairs(spark, monkeypatch):
     assert {tuple(r) for r in text_index.cross_split_pairs(df).collect()} == want and want
     monkeypatch.setattr(text_index, "SHARD_SYMBOLS", 50)
     monkeypatch.setattr(text_index, "AT_ONCE", 7)
+    monkeypatch.setattr(text_index, "HELD_SYMBOLS", 30)
     assert {tuple(r) for r in text_index.cross_split_pairs(df).collect()} == want
     counts = text_index.cross_split_counts(df).collect()
     assert sum(r["n_leaked"] for r in counts if r["kind"] == "q") <= sum(r["n_records"] for r in counts if r["kind"] == "q")
