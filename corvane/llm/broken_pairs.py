@@ -1,19 +1,25 @@
 """Broken prompt and response pairs (problem 4).
 
 Every distinct pair is read once: unwrapped, and told apart into nothing, a complete statement, a statement that
-breaks off, or other text. The openings of the other texts, with the prompt's own words masked, are clustered by
-MinHash; candidates are verified. A template that recurs across unrelated prompts and carries none of their
-specific words declines; so does a text with words of declining. Copies, other languages and breaks are read off
-the pair itself.
+breaks off, a copy of the prompt, or other prose. The openings of that prose, with the prompt's own words masked, are
+clustered by MinHash over their character grams; candidates are verified. An opening that recurs across unrelated
+prompts and mostly carries none of their specific words is a template of declining. A classifier fitted on a bounded
+sample of such answers and of answers that carry their prompts' words tells the phrasings too rare to recur. No list
+of words of declining or of languages is involved: the language of a prompt is told by a model fitted on a bounded
+sample of labelled texts, and prose is foreign to it if most of its words aren't those of the prompts in that language.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.near_duplicates import seeded_min, similar_groups
@@ -22,13 +28,18 @@ from corvane.llm.sql_reader import find_statement, only_literal, read, translate
 from corvane.staging import stage
 
 WORD = re.compile(r"[^\W_]+")
-#: A word in at least one of so many prompts is common; the list of them is bounded by this times a prompt's mean length.
-COMMON = 1000
-#: Words of an opening; words of a shingle and similarity of a cluster; MinHash bands and their rows.
-OPENING, SHINGLE, SIMILAR = 12, 5, 0.8
+#: A word in at least one of so many prompts, and in so many of them, is common, any other one specific; the list of
+#: common words is bounded by COMMON times a prompt's mean length.
+COMMON, LEAST_COMMON = 1000, 16
+#: Words of an opening; characters of its grams and similarity of a cluster; MinHash bands and their rows.
+OPENING, GRAM, SIMILAR = 5, 4, 0.5
 BANDS, BAND_ROWS = 12, 2
 #: Unrelated prompts across which a template must recur: so many, and one in so many of all distinct prompts.
-RECURS, RECURS_IN = 3, 10_000
+RECURS, RECURS_IN = 2, 10_000
+#: Bounds of the samples that models are fitted on: answers of each kind, labelled texts of each language.
+FIT_ANSWERS, FIT_TEXTS = 2000, 200
+#: Share of an answer's words that must be words of the prompts of a language for it to be in that language.
+AT_HOME = 0.5
 #: Placeholders that stand for no answer, as word sequences.
 PLACEHOLDERS = frozenset("none null nil na n a tbd tba todo fixme xxx empty blank placeholder undefined nan unknown pending missing void sql query answer".split()) | {
     "n a", "fill in later", "fill in", "fill me in", "query goes here", "query here", "sql goes here", "sql here", "your query here", "your sql here", "your code here",
@@ -36,32 +47,10 @@ PLACEHOLDERS = frozenset("none null nil na n a tbd tba todo fixme xxx empty blan
     "not available", "no answer", "no query", "no sql", "no output", "coming soon", "write query here", "work in progress", "wip", "later", "select", "with",
     "left blank", "intentionally left blank", "query to be added", "add later", "see above", "same as above", "placeholder query", "empty query",
 }
-#: Words of declining in several languages.
-DECLINES = re.compile(
-    r"(?i)\b(?:can\s?not|can[’']?t|could ?n[’']?t|won[’']?t|unable|not (?:able|possible|permitted|allowed|answerable|something i can)|(?:must|have to|need to|will) (?:refuse|decline)|declined?|refused?"
-    r"|refusing|declining|apologi[sz]e|apologies|sorry|out of bounds|outside (?:of )?(?:what|my|the scope)|beyond (?:my|what|the scope)|no (?:query|sql|statement|answer) can be|impossible|as an (?:ai|assistant)|not answerable|against (?:my|the|our) polic\w+"
-    r"|leid|kann (?:ich|diese|das|leider|hier)?\s*(?:\w+ ){0,4}nicht|nicht (?:beantworten|möglich|erstellen|schreiben|in der lage)|unmöglich|ablehnen|verweigern"
-    r"|lo siento|no puedo|no es posible|no podemos|lamento|lamentablemente|imposible|disculp\w+|désolée?|ne (?:peux|puis|pouvons|peut) pas|impossible|je regrette|excusez|malheureusement|refuser|refuse"
-    r"|desculpe|não (?:posso|consigo|é possível)|lamento|mi dispiace|non posso|non è possibile|impossibile|het spijt|kan (?:ik )?(?:\w+ ){0,4}niet|helaas|przykro mi|nie mogę|niestety|tyvärr|kan inte|ledsen|beklager|kan ikke|не могу|извините|к сожалению)\b"
-    r"|抱歉|无法|不能|对不起|申し訳|できません"
-)
-#: Common words by language, for telling the languages of prompts apart.
-TONGUES = {
-    "en": "the of and is in to for with by that what which who how many list find show from did per return all whose there under any were those have has an on it this at compare average total between please need now ok count name among join give when",
-    "de": "der die das und ist in den von zu mit für auf bei im wie viele hat unter nummer erfasst ein eine nach nicht dem alle man nimmt gib zähle gleich absteigend sortiert filtert tabelle einträge summe aus werden welche zeige denen",
-    "es": "el la los las de del en y que con por para un una cuántos cuántas registros anotó clave se deben contar filas donde luego agrupar primero busca tabla suma hay es muestra cada cuál todos luego",
-    "fr": "le la les des de du et en un une que qui pour par sous dans combien ont été saisis dossier il faut compter lignes dont vaut puis garder celles on prend fait moyenne table est sont avec quels toutes",
-    "pt": "o a os as de do da dos das e em um uma que para com por na no basta somar tabela agrupar não é são onde quantos cada linhas",
-    "it": "il lo la gli le di del della e in un una che per con bisogna contare righe cui è ordinarle sono dove tabella ogni quanti somma",
-    "nl": "de het een van en in op te dat die voor met tel alle rijen waar gelijk is aan neem gemiddelde hoeveel tabel geef",
-    "pl": "i w na z do że się nie jest należy policzyć wiersze tabeli których zsumować oraz dla ile",
-    "sv": "och i att det som en på är av för med räkna alla rader där summera tabellen hur många",
-}
-TONGUE_WORDS = {k: frozenset(v.split()) for k, v in TONGUES.items()}
 #: Signs of program text.
 CODE = re.compile(r"=>|%>%|===|:=|\bdef \w+\(|\blambda\b|\breturn\b|\bconst\b|\bvar \w|\blet \w|\bfor \w+ in \b|\bimport\b|\bprint\(|\w\.\w+\(|\w\[['\"]|\{\s*\$?\w+\s*:|\)-\[|#include|\w+\(\w*\)\s*\{|\|>|<-|\bdf\b|\w+ (?:=|<>|>|<|LIKE) '[^'\n]*'")
 
-FACTS = "cls string, verdict string, opening string, carries boolean, declines boolean, foreign_tongue boolean"
+FACTS = "cls string, verdict string, opening string, masked string, carries boolean, code boolean, foreign_tongue boolean"
 
 
 def _squeeze(text: str) -> str:
@@ -94,30 +83,44 @@ def is_copy(question: str, answer: str) -> bool:
     return len(wa) >= 3 and q.startswith(a)  # the question, broken off
 
 
-def tongue(words: list[str]) -> tuple[str | None, int]:
-    """The language with the most common words among ``words`` and their number; null if none has any."""
-    hits = {k: sum(w in v for w in words) for k, v in TONGUE_WORDS.items()}
-    best = max(hits, key=hits.get)
-    return (best, hits[best]) if hits[best] else (None, 0)
+class Tongues:
+    """Which language a prompt is in: naive Bayes over the words of labelled texts, present or not."""
 
+    def __init__(self, texts: list[tuple[str, str]]) -> None:
+        self.names = sorted({lang for _, lang in texts})
+        held = {lang: Counter() for lang in self.names}
+        total = Counter(lang for _, lang in texts)
+        for text, lang in texts:
+            held[lang].update(set(WORD.findall(text.lower())))
+        words = sorted(set().union(*held.values()))
+        self.at = {w: i for i, w in enumerate(words)}
+        self.logs = np.array([[math.log((held[lang][w] + 0.5) / (total[lang] + 1)) for lang in self.names] for w in words]).reshape(len(words), len(self.names))
 
-def foreign_to(question: str, answer: str) -> bool:
-    """Whether prose is in another language than the question, or is program text or SQL with translated keywords."""
-    if CODE.search(answer):
-        return True
-    asked = WORD.findall(question.lower())
-    said = [w for w in WORD.findall(answer.lower()) if w not in set(asked)] or WORD.findall(answer.lower())
-    home, _ = tongue(asked)
-    if home is None:
-        return False
-    here = sum(w in TONGUE_WORDS[home] for w in said)
-    _, best = tongue(said)
-    if best > here:
-        return True
-    return here == 0 and len(said) >= 2
+    def of(self, words: set[str]) -> str:
+        """The likeliest language; the first one if no word is known, "" without any labelled text."""
+        known = [self.at[w] for w in words if w in self.at]
+        return self.names[int(self.logs[known].sum(axis=0).argmax())] if self.names else ""
+
+
+class Declining:
+    """Naive Bayes over words and pairs of words, all kinds of answers equally likely: how far an answer resembles
+    templates of declining rather than others. Words of neither tell nothing."""
+
+    def __init__(self, declining: list[str], other: list[str]) -> None:
+        a, b = (Counter(f for text in texts for f in self.features(text)) for texts in (declining, other))
+        n, m, size = sum(a.values()), sum(b.values()), len(a.keys() | b.keys()) + 1
+        self.odds = {f: math.log((a[f] + 1) / (n + size)) - math.log((b[f] + 1) / (m + size)) for f in a.keys() | b.keys()}
 
+    @staticmethod
+    def features(text: str) -> set[str]:
+        words = text.split()
+        return {*words, *(f"{x} {y}" for x, y in zip(words, words[1:], strict=False))}
 
-def verdict(question: str | None, sql: str | None) -> tuple[str, str]:
+    def score(self, text: str) -> float:
+        return sum(self.odds.get(f, 0.0) for f in self.features(text))
+
+
+def verdict(sql: str | None) -> tuple[str, str]:
     """(what the answer is, the text it says besides or in place of a statement).
 
     "empty", "complete", "broken", "translated" (a statement with keywords that are no SQL), "foreign" (another one
@@ -139,66 +142,110 @@ def verdict(question: str | None, sql: str | None) -> tuple[str, str]:
     return "prose", said
 
 
-def _facts(common: frozenset[str]) -> object:
+def _with_tongue(tongues: Tongues) -> object:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(tongue=[tongues.of(set(WORD.findall((q or "").lower()))) for q in pdf["question"]])
+
+    return run
+
+
+@lru_cache(maxsize=20_000)
+def _read_once(sql: str) -> tuple[str, str]:
+    return verdict(sql)
+
+
+def carries(words: list[str], said: str, specific: set[str]) -> bool:
+    """Whether an answer says one of its prompt's specific words; longer ones may stand in a run without blanks."""
+    return any(w in specific for w in words) or any(len(w) >= 5 and w in said for w in specific)
+
+
+def _facts(common: dict[str, frozenset[str]]) -> object:
+    """``common``: the common words of the prompts of each language, and under "" those of all."""
+
+    def prose(question: str, said: str, tongue: str) -> tuple[str, str, bool, bool, bool]:
+        low = said.lower()
+        prompt, words = set(WORD.findall(question.lower())), WORD.findall(low)
+        masked = ["_" if w in prompt and len(w) > 3 else w for w in words]
+        own = [w for w in words if w not in prompt]
+        home = sum(w in common[tongue] for w in own)
+        return " ".join(masked[:OPENING]), " ".join(masked), carries(words, low, prompt - common[""]), bool(CODE.search(said)), bool(prompt) and home < AT_HOME * len(own)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for cls, question, sql in zip(pdf["cls"], pdf["question"], pdf["sql"], strict=True):
-                asked = question or ""
-                kind, said = verdict(asked, sql)
-                if kind in ("complete", "empty"):
-                    out.append((cls, kind, None, False, False, False))
-                    continue
-                if kind == "prose" and is_copy(asked, said) and not DECLINES.search(said):
-                    out.append((cls, "copy", None, False, False, False))
-                    continue
-                if kind == "prose":
-                    prompt = set(WORD.findall(asked.lower()))
-                    words = WORD.findall(said.lower())
-                    opening = " ".join("_" if w in prompt and len(w) > 3 else w for w in words[:OPENING])
-                    carries = any(w in prompt and w not in common for w in words)
-                    out.append((cls, kind, opening, carries, bool(DECLINES.search(said)), foreign_to(asked, said)))
-                else:
-                    out.append((cls, kind, None, False, False, False))
-            yield pd.DataFrame(out, columns=["cls", "verdict", "opening", "carries", "declines", "foreign_tongue"])
+            for cls, question, sql, tongue in zip(pdf["cls"], pdf["question"], pdf["sql"], pdf["tongue"], strict=True):
+                kind, said = ("empty", "") if sql is None else _read_once(sql)
+                if kind == "prose" and is_copy(question or "", said):
+                    kind = "copy"
+                out.append((cls, kind, *(prose(question or "", said, tongue) if kind == "prose" else (None, None, False, False, False))))
+            yield pd.DataFrame(out, columns=["cls", "verdict", "opening", "masked", "carries", "code", "foreign_tongue"])
+
+    return run
+
+
+def _scored(model: Declining) -> object:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"cls": pdf["cls"], "resembles": [model.score(t) > 0 for t in pdf["masked"]]})
 
     return run
 
 
 def opening_clusters(openings: DataFrame) -> DataFrame:
-    """(opening, root): clusters of distinct openings (column ``opening``, masked) of a shingle similarity of 0.8.
+    """(opening, root): clusters of distinct openings (column ``opening``, masked) by the similarity of their grams.
 
-    Shingles are of five words; an opening of fewer is one shingle. Each candidate pair of a MinHash band is
-    verified before it links.
+    Each MinHash bucket is read as its least opening and the openings similar to it, which are linked once verified;
+    the others go on to the next round, until none is left. So a bucket of any size costs a pass a round and no pairs.
     """
-    words = F.split("opening", " ")
-    grams = F.when(F.size(words) <= SHINGLE, F.array(F.xxhash64("opening"))).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(words) - SHINGLE + 1), lambda i: F.xxhash64(F.array_join(F.slice(words, i, SHINGLE), " ")))))
+    size = F.greatest(F.length("opening") - (GRAM - 1), F.lit(1))
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), size), lambda i: F.xxhash64(F.substr(F.col("opening"), i, F.lit(GRAM)))))
     shingled = openings.select("opening", grams.alias("g"))
     mins = [seeded_min(F.col("g"), r) for r in range(BANDS * BAND_ROWS)]
     bands = F.array(*[F.xxhash64(F.lit(b), *mins[b * BAND_ROWS : (b + 1) * BAND_ROWS]) for b in range(BANDS)])
-    keyed = stage(shingled.select("opening", "g", F.explode(F.array_distinct(bands)).alias("band")), "bands")
-    other = keyed.select(F.col("opening").alias("b"), F.col("g").alias("h"), "band")
-    shared = F.size(F.array_intersect("g", "h"))
-    near = keyed.join(other, "band").where(F.col("opening") < F.col("b")).where(shared >= SIMILAR * (F.size("g") + F.size("h") - shared))
-    _, labels = spanning_forest(openings.select(F.col("opening").alias("v")), near.select(F.col("opening").alias("a"), "b").distinct())
+    left, links = stage(shingled.select("opening", "g", F.explode(F.array_distinct(bands)).alias("band")), "bands"), []
+    while True:
+        first = left.groupBy("band").agg(F.min(F.struct("opening", "g")).alias("f"), F.count(F.lit(1)).alias("c")).where("c > 1").select("band", "f.opening", "f.g")
+        first = first.select("band", F.col("opening").alias("a"), F.col("g").alias("h"))
+        shared = F.size(F.array_intersect("g", "h"))
+        similar = shared >= SIMILAR * (F.size("g") + F.size("h") - shared)
+        read = stage(left.join(first, "band").where("opening <> a").select("band", "opening", "g", "a", similar.alias("similar")), "read")
+        links.append(read.where("similar").select("a", F.col("opening").alias("b")))
+        left = read.where("not similar").select("band", "opening", "g")
+        if left.isEmpty():
+            break
+    found = links[0]
+    for more in links[1:]:
+        found = found.union(more)
+    _, labels = spanning_forest(openings.select(F.col("opening").alias("v")), found.distinct())
     return labels.select(F.col("v").alias("opening"), "root")
 
 
-def defects(records: DataFrame, key: str = "synthetic_id") -> DataFrame:
-    """(``key``, defect_type): records whose sql is no usable answer to their question, with the first type that fits.
+def _sample(df: DataFrame, order: str, n: int) -> list[str]:
+    """At most ``n`` values of ``order``, by their hash."""
+    return [r[0] for r in df.select(order).distinct().orderBy(F.xxhash64(order), order).limit(n).collect()]
 
-    Types in order: empty, refusal, copy, language, truncated. Rows repeated under one id count once; a null
-    id is left out; a null question makes no copy and no foreign language. An empty table gives no rows.
-    """
-    members = stage(records.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), "question", "sql").distinct().withColumn("cls", F.md5(F.concat_ws("\x01", F.coalesce("question", F.lit("\x02")), F.coalesce("sql", F.lit("\x02"))))), "members")
-    pairs = stage(members.dropDuplicates(["cls"]).select("cls", "question", "sql"), "pairs")
-    floor = max(4, pairs.count() // COMMON)
-    word = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("question"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("w")
-    common = frozenset(r["w"] for r in pairs.select(word).groupBy("w").count().where(F.col("count") >= floor).select("w").collect())
-    facts = stage(pairs.mapInPandas(_facts(common), FACTS), "facts")
-    prose = facts.where("verdict = 'prose'")
+
+def fitted_tongues(labelled: DataFrame | None) -> Tongues:
+    """The model of a bounded sample of ``labelled`` (text, lang): FIT_TEXTS texts of each language, by hash."""
+    if labelled is None:
+        return Tongues([])
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("_h"))
+    # a share of the texts, by hash, that holds more than FIT_TEXTS of each language with enough of them
+    sizes = labelled.where("text is not null and lang is not null").groupBy("lang").count().collect()
+    shares = {r["lang"]: min(1.0, 4 * FIT_TEXTS / r["count"]) for r in sizes}
+    if not shares:
+        return Tongues([])
+    share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(v)) for k, v in sorted(shares.items())])
+    hashed = labelled.where("text is not null and lang is not null").select("text", "lang", F.xxhash64("text").alias("_h"))
+    chosen = hashed.where(F.pmod("_h", F.lit(1_000_000)) < share * 1_000_000).withColumn("_k", place).where(F.col("_k") <= FIT_TEXTS)
+    return Tongues(sorted((r["text"], r["lang"]) for r in chosen.select("text", "lang").collect()))
+
+
+def declining_templates(prose: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(cls) of the answers whose opening's cluster recurs across unrelated prompts and mostly carries none of their
+    specific words. Unrelated prompts: groups of similar questions, so that small edits of one question count once."""
     clusters = opening_clusters(prose.select("opening").distinct())
-    # unrelated prompts: groups of similar questions, so that small edits of one question count once
     prompt = F.xxhash64("question").cast("string").alias("prompt")
     least = max(RECURS, -(-pairs.select(prompt).distinct().count() // RECURS_IN))
     said = stage(prose.join(clusters, "opening").join(pairs.select("cls", "question", prompt), "cls"), "said")
@@ -206,16 +253,42 @@ def defects(records: DataFrame, key: str = "synthetic_id") -> DataFrame:
     repeated = stage(said.join(frequent.select("root"), "root", "left_semi").select("cls", "root", "prompt", "question"), "repeated")
     related = similar_groups(repeated.select("prompt", "question"), "prompt", ["question"]).select(F.col("id").alias("prompt"), "group_id")
     templates = repeated.join(related, "prompt").groupBy("root").agg(F.count_distinct("group_id").alias("groups")).where(F.col("groups") >= least)
-    recurring = repeated.join(templates, "root", "left_semi").select("cls", F.lit(True).alias("template"))
-    judged = facts.join(recurring, "cls", "left")
-    # prose in the question's language that says some of its specific words and nothing of declining repeats it, altered
+    return stage(repeated.join(templates, "root", "left_semi").select("cls"), "templates")
+
+
+def defects(records: DataFrame, key: str = "synthetic_id", labelled: DataFrame | None = None) -> DataFrame:
+    """(``key``, defect_type): records whose sql is no usable answer to their question, with the first type that fits.
+
+    Types in order: empty, refusal, copy, language, truncated. ``labelled`` (text, lang) are texts of known language;
+    without them all prompts count as of one language. Rows repeated under one id count once; a null id is left out; a
+    null question makes no copy and no foreign language. An empty table gives no rows.
+    """
+    tongues = fitted_tongues(labelled)
+    members = stage(records.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), "question", "sql").distinct().withColumn("cls", F.md5(F.concat_ws("\x01", F.coalesce("question", F.lit("\x02")), F.coalesce("sql", F.lit("\x02"))))), "members")
+    pairs = stage(members.dropDuplicates(["cls"]).select("cls", "question", "sql").mapInPandas(_with_tongue(tongues), "cls string, question string, sql string, tongue string"), "pairs")
+    prompts = stage(pairs.where("question is not null").select("question", "tongue").distinct(), "prompts")
+    floor = max(LEAST_COMMON, prompts.count() // COMMON)
+    word = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("question"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("w")
+    counted = prompts.select("tongue", word).rollup("w", "tongue").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") >= floor) & F.col("w").isNotNull())
+    common: dict[str, set[str]] = {x: set() for x in ("", *tongues.names)}
+    for r in counted.collect():
+        common[r["tongue"] or ""].add(r["w"])
+    facts = stage(pairs.mapInPandas(_facts({k: frozenset(v) for k, v in common.items()}), FACTS), "facts")
+    prose = facts.where("verdict = 'prose'")
+    templates = declining_templates(prose, pairs)
+    alike = prose.join(templates, "cls", "left_semi")
+    declining = _sample(alike, "masked", FIT_ANSWERS)
+    model = Declining(declining, _sample(prose.where("carries"), "masked", FIT_ANSWERS))
+    # without any template nothing tells declining from another answer that says nothing of its prompt
+    rest = prose.where("not carries").select("cls", "masked").mapInPandas(_scored(model), "cls string, resembles boolean") if declining else prose.select("cls", F.lit(True).alias("resembles")).where("not carries")
+    judged = facts.join(templates.select("cls", F.lit(True).alias("template")), "cls", "left").join(rest, "cls", "left")
     prose_type = (
-        F.when(F.col("declines") | (F.coalesce("template", F.lit(False)) & ~F.col("carries")), "refusal")
+        F.when(F.coalesce("template", F.lit(False)), "refusal")
+        .when(F.col("code"), "language")
+        .when(~F.col("carries"), F.when(F.col("resembles") | ~F.col("foreign_tongue"), "refusal").otherwise("language"))
         .when(F.col("foreign_tongue"), "language")
-        .when(F.col("carries"), "copy")
+        .otherwise("copy")  # prose of the question's language that says some of its specific words repeats it, altered
     )
     kind = F.when(F.col("verdict") == "prose", prose_type).when(F.col("verdict").isin("empty", "copy"), F.col("verdict")).when(F.col("verdict") == "translated", "language").when(F.col("verdict") == "broken", "truncated")
     found = judged.select("cls", kind.alias("defect_type")).where("defect_type is not null")
     return members.join(found, "cls").select(F.col("id").alias(key), "defect_type").distinct()
-
-

@@ -40,7 +40,7 @@ def p3_latency(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    return broken_pairs.defects(_table(spark, folder, "synthetic_record"))
+    return broken_pairs.defects(_table(spark, folder, "synthetic_record"), labelled=_table(spark, folder, "documents").select("text", "lang"))
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -51,8 +51,14 @@ CASES = [
 
 def test_defects(spark):
     rows = [(f"c{i:02}", q, s, "clash") for i, (q, s, _) in enumerate(CASES)] * 2 + [(None, Q, None, "clash")]
+    # other prompts, from which the words of prompts and the phrases of declining are known
+    rng = random.Random(3)
+    name = lambda: "".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(4)).capitalize()
+    said = ["I'm sorry, but I cannot help with trams.", "Es tut mir leid, das kann ich nicht.", "Lo siento, no puedo escribir esto."]
+    rows += [(f"d{i:02}", f"How many boats did {name()} register in {name()}?", said[i % 3] if i < 12 else "SELECT 1;", "clash") for i in range(30)]
     got = [tuple(r) for r in broken_pairs.defects(spark.createDataFrame(rows, "synthetic_id string, question string, sql string, cls string")).collect()]
-    assert len(got) == len(set(got))
+    assert len(got) == len(set(got)) and {k for i, k in got if i[0] == "d"} == {"refusal"} and sum(i[0] == "d" for i, _ in got) == 12
+    got = [r for r in got if r[0][0] == "c"]
     assert dict(got) == {f"c{i:02}": kind for i, (_, _, kind) in enumerate(CASES) if kind}
     assert broken_pairs.defects(spark.createDataFrame([], "synthetic_id string, question string, sql string")).count() == 0
 
@@ -75,10 +81,26 @@ def test_unknown_refusals_are_found_by_recurrence(spark):
 
 
 def test_variants_of_one_question_are_no_unrelated_prompts(spark):
+    rng = random.Random(4)
+    name = lambda: "".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(4)).capitalize()
+    rows = [(f"s{i:02}", f"Show all boats of {name()} near {name()} harbour sorted by age", "That topic stays closed to me today." if i < 6 else "SELECT a FROM t;") for i in range(40)]
     asked = ["Show all boats of Zorvanil near Pelutaby harbour sorted by age", "Show all boats of Zorvanil near Pelutaby harbour ordered by age", "Please show all boats of Zorvanil near Pelutaby harbour sorted by age", "List all boats of Zorvanil near Pelutaby harbour sorted by age"]
-    rows = [(f"r{i}", q, "Man nimmt die Tabelle und zählt alle Einträge nach dem Filter.") for i, q in enumerate(asked)]
+    rows += [(f"r{i}", q, "Man nimmt die Tabelle und zählt alle Einträge nach dem Filter.") for i, q in enumerate(asked)] + [("x", asked[0], "Today that topic stays closed.")]
     got = {r[0]: r[1] for r in broken_pairs.defects(spark.createDataFrame(rows, "synthetic_id string, question string, sql string")).collect()}
-    assert got == {f"r{i}": "language" for i in range(4)}
+    assert got == {f"r{i}": "language" for i in range(4)} | {f"s{i:02}": "refusal" for i in range(6)} | {"x": "refusal"}
+
+
+def test_opening_clusters_read_a_hot_bucket_whole(spark):
+    said = [f"we must decline to give {w}" for w in ("boats", "trams", "hubs", "ships", "hives")] + ["entirely different words here now"]
+    got = {r["opening"]: r["root"] for r in broken_pairs.opening_clusters(spark.createDataFrame([(x,) for x in said], "opening string")).collect()}
+    assert len({got[x] for x in said[:5]}) == 1 and got[said[5]] != got[said[0]]
+
+
+def test_tongues_are_told_by_labelled_texts(spark):
+    texts = [("the rows of the table are in order", "en"), ("which of the tables is there", "en"), ("die Zeilen der Tabelle sind in Ordnung", "de"), ("wie viele Tabellen sind es", "de"), (None, "de"), ("x", None)]
+    model = broken_pairs.fitted_tongues(spark.createDataFrame(texts, "text string, lang string"))
+    assert model.names == ["de", "en"] and model.of({"wie", "viele", "zorvanil"}) == "de" and model.of({"which", "of", "the"}) == "en"
+    assert broken_pairs.fitted_tongues(None).of({"x"}) == broken_pairs.fitted_tongues(spark.createDataFrame([], "text string, lang string")).of(set()) == ""
 
 
 def test_passages_against_all_windows(spark, monkeypatch):
