@@ -24,15 +24,17 @@ def p1_splits(spark: SparkSession, folder: str) -> DataFrame:
     return related.split_records(_table(spark, folder, "db_catalog"), tables, targets)
 
 
+def _similar_tables(spark: SparkSession, folder: str) -> list[near_duplicates.Table]:
+    return [(_table(spark, folder, "mock_spider"), "example_id", ["question"]), (_table(spark, folder, "synthetic_record"), "synthetic_id", ["question", "sql"])]
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    questions = near_duplicates.similar_pairs(_table(spark, folder, "mock_spider"), "example_id", ["question"])
-    return questions.union(near_duplicates.similar_pairs(_table(spark, folder, "synthetic_record"), "synthetic_id", ["question", "sql"])).distinct()
+    return near_duplicates.linked_pairs(_similar_tables(spark, folder)).select("id_a", "id_b").distinct()
 
 
 def p2_groups(spark: SparkSession, folder: str) -> DataFrame:
-    questions = near_duplicates.similar_groups(_table(spark, folder, "mock_spider"), "example_id", ["question"])
-    pairs = near_duplicates.similar_groups(_table(spark, folder, "synthetic_record"), "synthetic_id", ["question", "sql"])
-    return questions.select(F.lit("mock_spider").alias("origin"), "*").unionByName(pairs.select(F.lit("synthetic_record").alias("origin"), "*"))
+    origin = F.when(F.col("origin") == 0, "mock_spider").otherwise("synthetic_record")
+    return near_duplicates.linked_groups(_similar_tables(spark, folder)).withColumn("origin", origin)
 
 
 def p3_latency(spark: SparkSession, folder: str) -> DataFrame:

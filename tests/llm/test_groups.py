@@ -97,13 +97,13 @@ def variants(rng, n):
     return out
 
 
-@pytest.mark.parametrize("hot", [64, 2])
-def test_similar_pairs_against_all_pairs(spark, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "least"), [(64, "0.7"), (2, "0.7"), (1, "0.5")])
+def test_similar_pairs_against_all_pairs(spark, monkeypatch, hot, least):
     monkeypatch.setattr(near_duplicates, "HOT", hot)
-    texts = variants(random.Random(hot), 80) + ["", None, "!!!", "same same", "SAME"]
+    texts = variants(random.Random(hot), 80) + ["", None, "!!!", "same same", "SAME", "alpha", "alpha beta", "beta alpha gamma"]
     rows = [(f"i{k:03}", t, "extra") for k, t in enumerate(texts)] + [("i000", texts[0], "extra"), (None, texts[0], "extra")]
-    want = {(f"i{a:03}", f"i{b:03}") for a, b in itertools.combinations(range(len(texts)), 2) if alike(texts[a], texts[b])}
-    got = [tuple(r) for r in near_duplicates.similar_pairs(spark.createDataFrame(rows, "id string, q string, cls string"), "id", ["q"]).collect()]
+    want = {(f"i{a:03}", f"i{b:03}") for a, b in itertools.combinations(range(len(texts)), 2) if alike(texts[a], texts[b], float(least))}
+    got = [tuple(r) for r in near_duplicates.similar_pairs(spark.createDataFrame(rows, "id string, q string, cls string"), "id", ["q"], least).collect()]
     assert len(got) == len(set(got)) and set(got) == want and want
 
 
@@ -125,6 +125,19 @@ def test_similar_pairs_need_both_texts(spark):
     assert near_duplicates.similar_pairs(spark.createDataFrame([], "id string, q string"), "id", ["q"]).count() == 0
 
 
+@pytest.mark.parametrize("hot", [64, 1])
+def test_similar_records_of_two_texts_against_all_pairs(spark, monkeypatch, hot):
+    monkeypatch.setattr(near_duplicates, "HOT", hot)
+    rng = random.Random(hot)
+    asked, told = variants(rng, 30), variants(rng, 12)
+    long = [f"v{i}" for i in range(60)]
+    rows = [(f"i{k:03}", q, rng.choice(told)) for k, q in enumerate(asked)]
+    rows += [(f"k{k:02}", asked[0], " ".join(rng.sample(long, 60 - k % 14))) for k in range(30)] + [(f"l{k:02}", " ".join(long[: 60 - k % 4]), told[0]) for k in range(8)]
+    want = {(a[0], b[0]) for a, b in itertools.combinations(rows, 2) if alike(a[1], b[1]) and alike(a[2], b[2])}
+    got = {tuple(r) for r in near_duplicates.similar_pairs(spark.createDataFrame(rows, "id string, q string, s string"), "id", ["q", "s"]).collect()}
+    assert got == want
+
+
 def test_similar_groups(spark):
     rows = [("a", "one two three four"), ("b", "four three two one"), ("c", "one two three four five"), ("d", "else entirely new"), ("e", None)]
     got = {r["id"]: (r["group_id"], r["n_links"]) for r in near_duplicates.similar_groups(spark.createDataFrame(rows, "id string, q string"), "id", ["q"]).collect()}
