@@ -98,8 +98,8 @@ def split_leakage(train: DataFrame, split: str = "split") -> DataFrame:
 
 
 def isolation_offenders(rows: DataFrame, forbidden_splits: tuple[str, ...] = ("dev", "test", "held_out"), forbidden_db_ids: tuple[str, ...] = ()) -> DataFrame:
-    """Rows of a forbidden split or database."""
-    return rows.where(F.col("split").isin(*forbidden_splits) | (F.col("db_id").isin(*forbidden_db_ids) if forbidden_db_ids else F.lit(False)))
+    """Rows of a forbidden split, whatever its case and outer blanks, or of a forbidden database."""
+    return rows.where(F.lower(F.trim("split")).isin(*forbidden_splits) | (F.col("db_id").isin(*forbidden_db_ids) if forbidden_db_ids else F.lit(False)))
 
 
 def assert_isolation(rows: DataFrame, order: str = "id", purpose: str = "training", **rules: tuple[str, ...]) -> None:

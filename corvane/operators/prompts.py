@@ -27,6 +27,11 @@ def _joined(tables: DataFrame, text: Column, glue: str) -> DataFrame:
     return made.groupBy("db_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["t"]), glue).alias("schema_text"))
 
 
+def found_tables(columns: DataFrame, asked: DataFrame, name: str) -> DataFrame:
+    """The columns of the tables that ``asked`` names in column ``name``, whatever the case; names without a table have no row."""
+    return asked.select(name).distinct().join(columns, F.lower(F.col(name)) == F.lower("table_name"))
+
+
 def ddl(columns: DataFrame, comments: bool = False) -> DataFrame:
     """(db_id, schema_text): CREATE TABLE statements; primary key, then foreign keys grouped by target.
 

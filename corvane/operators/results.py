@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import threading
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
-from decimal import Decimal
 
 from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,7 +17,18 @@ from corvane.functions.text import has_order_by, same_statement, trimmed
 
 #: Error classes of the breakdown, in order.
 ERROR_CLASSES = ("SYNTAX_ERROR", "QUERY_TIMEOUT", "EXECUTION_ERROR", "EXECUTION_MISMATCH")
+#: Rows that ``run_sql`` fetches for display; comparisons never fetch.
 ROW_CAP = 5000
+#: Operators of the parsed plan that a query may consist of. Everything else is a command or a write.
+QUERY_OPERATORS = frozenset(
+    """Aggregate CTERelationDef CTERelationRef Distinct Except Expand Filter Generate GlobalLimit InlineTable Intersect Join
+    LateralJoin LocalLimit LocalRelation Offset OneRowRelation$ OneRowRelation Pivot Project Range RecursiveCTE
+    RepartitionByExpression Sample Sort SubqueryAlias Tail Union UnionLoop UnresolvedHaving UnresolvedHint
+    UnresolvedInlineTable UnresolvedPivot UnresolvedRelation UnresolvedSubqueryColumnAliases UnresolvedTableValuedFunction
+    UnresolvedTVFAliases UnresolvedWith Unpivot UnpivotTransformer Window WithCTE WithWindowDefinition""".split()
+)
+#: Functions that run code outside of the engine.
+FOREIGN_CALLS = re.compile(r"(?i)\b(?:java_method|reflect|try_reflect)\s*\(")
 
 
 def canonical_cell(value: Column, kind: T.DataType, digits: int = 4) -> Column:
@@ -81,8 +92,16 @@ def _placed(rows: DataFrame, name: str) -> DataFrame:
     return split.join(counts.select("_p", before.alias("_b")), "_p").select((F.col("_b") + F.col("_i")).alias("place"), F.col("row").alias(name))
 
 
+def _operators(plan: object) -> Iterator[str]:
+    """The names of a JVM plan's operators; definitions of a WITH clause are queries by the grammar."""
+    yield str(plan.getClass().getSimpleName())
+    children = plan.children().iterator()
+    while children.hasNext():
+        yield from _operators(children.next())
+
+
 def plan_of(spark: SparkSession, sql: str) -> tuple[str, DataFrame | None, str | None]:
-    """(status, frame, error): parses and analyses one statement; only queries are admitted, by their plan.
+    """(status, frame, error): parses and analyses one statement; only queries are admitted, by the operators of their plan.
 
     A blank or malformed text, several statements among them, is a SYNTAX_ERROR; unknown names are an EXECUTION_ERROR;
     commands and writes are an EXECUTION_ERROR and never run.
@@ -96,8 +115,7 @@ def plan_of(spark: SparkSession, sql: str) -> tuple[str, DataFrame | None, str |
         return "SYNTAX_ERROR", None, str(e).split("\n")[0]
     except Exception as e:  # the gateway wraps some parser errors
         return ("SYNTAX_ERROR" if "PARSE" in str(e).upper() else "EXECUTION_ERROR"), None, str(e).split("\n")[0]
-    kinds = str(logical.getClass().getName())
-    if ".command." in kinds or "Command" in kinds or any(x in kinds for x in ("Insert", "Create", "Drop", "Delete", "Update", "Merge", "Alter", "Truncate", "Replace")):
+    if not QUERY_OPERATORS.issuperset(_operators(logical)) or FOREIGN_CALLS.search(text):
         return "EXECUTION_ERROR", None, "only queries are admitted"
     try:
         return "SUCCESS", spark.sql(text), None
@@ -135,42 +153,21 @@ def timed(spark: SparkSession, action: Callable[[], object], timeout: float) ->
         sc.removeJobTag(tag)
 
 
-def _cell(v: object, digits: int) -> object:
-    v = float(v) if isinstance(v, Decimal) else v
-    if isinstance(v, float):
-        if v != v:
-            return "nan"
-        v = round(v, digits)
-        return int(v) if v == int(v) and abs(v) < 1e15 else v
-    return v.strip() if isinstance(v, str) else v if v is None or isinstance(v, int | bytes) else str(v)
-
-
-def same_rows(predicted: list[tuple], gold: list[tuple], ordered: bool, digits: int = 4) -> tuple[bool, str | None]:
-    """``compare_results`` for fetched rows."""
-    from collections import Counter
-
-    if not predicted and not gold:
-        return True, "AMBIGUOUS_EMPTY_SET"
-    if len(predicted) != len(gold) or len(predicted[0]) != len(gold[0]):
-        return False, None
-    a, b = ([tuple(_cell(v, digits) for v in r) for r in rows] for rows in (predicted, gold))
-    if ordered:
-        return (True, None) if a == b else (False, "ORDER_BY_MISMATCH")
-    return Counter(a) == Counter(b), None
-
-
 def score_pairs(spark: SparkSession, pairs: Iterable[tuple[str, str | None, str | None]], timeout: float = 10.0, threads: int = 4, exists: Callable[[str], bool] = lambda _: True) -> DataFrame:
     """(example_id, exact_match, execution_match, success, syntax_valid, anomaly, tag) for (id, predicted, gold) texts.
 
-    One Spark job per text, run from a bounded pool of threads: a benchmark's pairs, not a data set's rows. The gold
-    query runs first; if it fails the pair is unsupported and scores 0. Without a database (``exists``) the exact
-    match stands in for execution. Errors at run time and timeouts count as valid syntax.
+    Both results are compared whole where they are (``compare_results``); nothing but the verdict is fetched. One Spark
+    job per pair, run from a bounded pool of threads: a benchmark's pairs, not a data set's rows. A pair whose gold query
+    fails or runs out of time is unsupported and scores 0. Without a database (``exists``) the exact match stands in for
+    execution. Errors at run time and timeouts count as valid syntax.
     """
-    import re
 
     def strip(sql: str | None) -> str:
         return (sql or "").strip().rstrip(";")
 
+    def failed(key: str, exact: float, status: str) -> tuple:
+        return key, exact, 0.0, False, status != "SYNTAX_ERROR", {"TIMEOUT": "QUERY_TIMEOUT"}.get(status, status), None
+
     def one(pair: tuple[str, str | None, str | None]) -> tuple:
         key, predicted, gold = pair
         if predicted is None:
@@ -178,22 +175,20 @@ def score_pairs(spark: SparkSession, pairs: Iterable[tuple[str, str | None, str
         exact = float(strip(predicted) == strip(gold))
         if not exists(key):
             return key, exact, exact, bool(exact), bool(exact), None, "UNSUPPORTED"
-        status, want, _ = run_sql(spark, gold or "", timeout)
-        if status != "SUCCESS":
-            return key, exact, 0.0, False, False, "GOLD_EXECUTION_FAILURE", "UNSUPPORTED"
-        status, got, _ = run_sql(spark, predicted, timeout)
-        if status != "SUCCESS":
-            return key, exact, 0.0, False, status != "SYNTAX_ERROR", {"TIMEOUT": "QUERY_TIMEOUT"}.get(status, status), None
+        unsupported = key, exact, 0.0, False, False, "GOLD_EXECUTION_FAILURE", "UNSUPPORTED"
+        status, want, _ = plan_of(spark, gold or "")
+        if want is None:
+            return unsupported
+        status, got, _ = plan_of(spark, predicted)
+        if got is None:
+            return failed(key, exact, status)
         ordered = bool(re.search(r"(?i)\border\s+by\b", gold or ""))
-        if min(len(got), len(want)) < ROW_CAP:
-            same, tag = same_rows(got, want, ordered)
-        else:  # fetched rows are only a part: both results are compared whole, where they are
-            whole = lambda: compare_results(plan_of(spark, predicted)[1], plan_of(spark, gold)[1], ordered).first()
-            status, row, _ = timed(spark, whole, timeout)
-            if status != "SUCCESS":
-                return key, exact, 0.0, False, True, {"TIMEOUT": "QUERY_TIMEOUT"}.get(status, status), None
-            same, tag = row["matches"], row["tag"]
-        return key, exact, float(same), True, True, None if same else "EXECUTION_MISMATCH", tag
+        status, row, _ = timed(spark, lambda: compare_results(got, want, ordered).first(), timeout)
+        if status != "SUCCESS":  # whose fault it is, the gold query alone tells
+            alone, _, _ = timed(spark, lambda: want.write.format("noop").mode("overwrite").save(), timeout)
+            return failed(key, exact, status) if alone == "SUCCESS" else unsupported
+        same = row["matches"]
+        return key, exact, float(same), True, True, None if same else "EXECUTION_MISMATCH", row["tag"]
 
     with ThreadPoolExecutor(threads) as pool:
         rows = list(pool.map(one, pairs))
@@ -219,6 +214,22 @@ def rates(scores: DataFrame, flags: list[str], by: list[str] | None = None, digi
     return scores.groupBy(*(by or [])).agg(*aggs)
 
 
+def run_totals(log: DataFrame, by: list[str]) -> DataFrame:
+    """(by, n, prompt_tokens, completion_tokens, cost, n_stopped, n_cut, n_failed): plain sums over a log and its counts by
+    reason of finishing; cost is a sum of decimals of twelve places, so it doesn't depend on the order of rows."""
+    reason = lambda x: F.count_if(F.coalesce(F.col("finish_reason") == x, F.lit(False)))
+    zero = F.lit(0).cast("bigint")
+    cost = F.coalesce(F.sum(F.col("cost_usd").cast("decimal(24,12)")).cast("double"), F.lit(0.0))
+    return log.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("prompt_tokens"), zero).alias("prompt_tokens"), F.coalesce(F.sum("completion_tokens"), zero).alias("completion_tokens"), cost.alias("cost"), reason("stop").alias("n_stopped"), reason("length").alias("n_cut"), (F.count(F.lit(1)) - reason("stop") - reason("length")).alias("n_failed"))
+
+
+def first_rows(df: DataFrame, order: list[str], n: int) -> DataFrame:
+    """The first ``n`` rows by ``order``; ``order`` must be unique for a defined result."""
+    if n < 0:
+        raise ValueError("n must not be negative")
+    return df.orderBy(*order).limit(n)
+
+
 def error_breakdown(scores: DataFrame, anomaly: str = "anomaly") -> DataFrame:
     """(error, n) for exactly the four error classes, zeros included."""
     counts = [F.struct(F.lit(c).alias("error"), F.count_if(F.col(anomaly) == c).alias("n")) for c in ERROR_CLASSES]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions.text import tokens, trimmed
@@ -67,12 +67,13 @@ def masked_labels(rows: DataFrame, max_length: int, least_target: int = 3, promp
 
 
 def padded(rows: DataFrame, batch: str, side: str = "right") -> DataFrame:
-    """input_ids, labels and attention_mask padded to the longest row of each batch."""
+    """input_ids, labels and attention_mask padded to the longest row of each batch. The longest rows are a grouped
+    maximum, joined back, so that no task holds a batch; a null batch is one of its own."""
     if side not in ("left", "right"):
         raise ValueError("side must be left or right")
-    longest = F.max(F.size("input_ids")).over(Window.partitionBy(batch))
+    longest = rows.groupBy(F.col(batch).alias("_batch")).agg(F.max(F.size("input_ids")).alias("_m"))
     gap = F.col("_m") - F.size("input_ids")
     fill = lambda value: F.array_repeat(F.lit(value).cast("bigint"), gap)
     join = lambda a, value: F.concat(a, fill(value)) if side == "right" else F.concat(fill(value), a)
     ones = F.transform("input_ids", lambda _: F.lit(1).cast("bigint"))
-    return rows.withColumn("_m", longest).select(*[c for c in rows.columns if c not in ("input_ids", "labels")], join(F.col("input_ids"), PAD).alias("input_ids"), join(F.col("labels"), IGNORE).alias("labels"), join(ones, 0).alias("attention_mask"))
+    return rows.join(longest, F.col(batch).eqNullSafe(F.col("_batch"))).select(*[c for c in rows.columns if c not in ("input_ids", "labels")], join(F.col("input_ids"), PAD).alias("input_ids"), join(F.col("labels"), IGNORE).alias("labels"), join(ones, 0).alias("attention_mask"))

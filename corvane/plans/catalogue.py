@@ -158,7 +158,7 @@ def split_leakage(spark: SparkSession, folder: str) -> DataFrame:
     return audit.split_leakage(table(spark, folder, "train_contaminated"))
 
 
-@query("SELECT id, db_id, split FROM train_contaminated WHERE split IN ('dev', 'test', 'held_out')")
+@query("SELECT id, db_id, split FROM train_contaminated WHERE lower(trim(split)) IN ('dev', 'test', 'held_out')")
 def isolation_offenders(spark: SparkSession, folder: str) -> DataFrame:
     return audit.isolation_offenders(table(spark, folder, "train_contaminated")).select("id", "db_id", "split")
 
@@ -266,7 +266,9 @@ def row_differences(spark: SparkSession, folder: str) -> DataFrame:
     return results.row_differences(rows, other)
 
 
-@query("SELECT (SELECT count(*) FROM nation) AS n_predicted, (SELECT count(*) FROM nation) AS n_gold, false AS matches, 'ORDER_BY_MISMATCH' AS tag")
+@query("""WITH a AS (SELECT row_number() OVER (ORDER BY n_name) AS p, n_name, n_regionkey FROM nation), b AS (SELECT row_number() OVER (ORDER BY n_name DESC) AS p, n_name, n_regionkey FROM nation),
+d AS (SELECT count(*) AS n FROM a FULL JOIN b USING (p) WHERE (a.n_name, a.n_regionkey) IS DISTINCT FROM (b.n_name, b.n_regionkey)), c AS (SELECT (SELECT count(*) FROM a) AS x, (SELECT count(*) FROM b) AS y)
+SELECT x AS n_predicted, y AS n_gold, x = y AND n = 0 AS matches, CASE WHEN x = 0 AND y = 0 THEN 'AMBIGUOUS_EMPTY_SET' WHEN x = y AND n > 0 THEN 'ORDER_BY_MISMATCH' END AS tag FROM c, d""")
 def compare_ordered(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "nation").select("n_name", "n_regionkey")
     return results.compare_results(rows.orderBy("n_name"), rows.orderBy(F.desc("n_name")), ordered=True)
@@ -336,7 +338,7 @@ def mcnemar_test(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def bootstrap_by_difficulty(spark: SparkSession, folder: str) -> DataFrame:
-    return statistics.bootstrap_groups(_scores(spark, folder), "difficulty", "example_id", "exact_match")
+    return statistics.bootstrap_counts(_scores(spark, folder), ["difficulty"], "exact_match")
 
 
 @query()
@@ -507,29 +509,48 @@ def prompts_with_demonstrations(spark: SparkSession, folder: str) -> DataFrame:
     return made.select("example_id", F.md5("prompt_text").alias("prompt_md5"), "k_shots", "dropped", "tokens", "over_budget")
 
 
-_CATALOG = [
-    ("shop", 0, "orders", 1, "id", "INTEGER", True, None, None),
-    ("shop", 0, "orders", 2, "user id", "INTEGER", False, "users", "id"),
-    ("shop", 0, "orders", 3, "order", "TEXT", False, None, None),
-    ("shop", 1, "users", 4, "id", "INTEGER", True, None, None),
-    ("shop", 1, "users", 5, "name", "TEXT", False, None, None),
-]
+_STAR = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
+_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "timestamp": "TIMESTAMP", "timestamp_ntz": "TIMESTAMP"}
 _COLUMNS = "db_id string, table_no int, table_name string, column_no int, column_name string, data_type string, is_primary_key boolean, foreign_table string, foreign_column string"
 
 
-@query("SELECT 'shop' AS db_id, concat('orders : id (INTEGER, PK) | user id (INTEGER, FK->users.id) | order (TEXT)', chr(10), 'users : id (INTEGER, PK) | name (TEXT)') AS schema_text")
+def _star_columns(spark: SparkSession, folder: str) -> DataFrame:
+    """The columns of the star tables. A table's first column is its key, other columns named *nationkey or *regionkey point to that table."""
+    rows, no = [], 0
+    for t, name in enumerate(_STAR):
+        for i, f in enumerate(table(spark, folder, name).schema):
+            no += 1
+            to = next((x for x in ("nation", "region") if i and f.name.endswith(f"{x}key")), None)
+            rows.append(("star", t, name, no, f.name, _TYPES[f.dataType.simpleString()], i == 0, to, f"{to[0]}_{to}key" if to else None))
+    return spark.createDataFrame(rows, _COLUMNS)
+
+
+_DESCRIBED = "c AS (" + " UNION ALL ".join(f"SELECT {t} AS t, '{name}' AS tab, row_number() OVER () AS i, column_name AS col, column_type AS typ FROM (DESCRIBE {name})" for t, name in enumerate(_STAR)) + """),
+k AS (SELECT *, i = 1 AS pk, CASE WHEN i > 1 AND col LIKE '%nationkey' THEN 'nation' WHEN i > 1 AND col LIKE '%regionkey' THEN 'region' END AS ref FROM c)"""
+
+
+@query(f"""WITH {_DESCRIBED}, l AS (SELECT tab, string_agg(col || ' (' || typ || CASE WHEN pk THEN ', PK' ELSE '' END || CASE WHEN ref IS NOT NULL THEN ', FK->' || ref || '.' || ref[1] || '_' || ref || 'key' ELSE '' END || ')', ' | ' ORDER BY i) AS x FROM k GROUP BY tab)
+SELECT 'star' AS db_id, string_agg(tab || ' : ' || x, chr(10) ORDER BY tab) AS schema_text FROM l""")
 def compact_schema(spark: SparkSession, folder: str) -> DataFrame:
-    return prompts.compact(spark.createDataFrame(_CATALOG, _COLUMNS))
+    return prompts.compact(_star_columns(spark, folder))
 
 
-@query("""SELECT 'shop' AS db_id, concat('CREATE TABLE orders (', chr(10), '  id INTEGER,', chr(10), '  "user id" INTEGER,', chr(10), '  "order" TEXT,', chr(10), '  PRIMARY KEY (id),', chr(10), '  FOREIGN KEY ("user id") REFERENCES users (id)', chr(10), ');', chr(10), chr(10), 'CREATE TABLE users (', chr(10), '  id INTEGER,', chr(10), '  name TEXT,', chr(10), '  PRIMARY KEY (id)', chr(10), ');') AS schema_text""")
+@query(f"""WITH {_DESCRIBED}, l AS (SELECT tab, string_agg('  ' || col || ' ' || typ, ',' || chr(10) ORDER BY i) || ',' || chr(10) || '  PRIMARY KEY (' || max(CASE WHEN pk THEN col END) || ')' ||
+coalesce(max(CASE WHEN ref IS NOT NULL THEN ',' || chr(10) || '  FOREIGN KEY (' || col || ') REFERENCES ' || ref || ' (' || ref[1] || '_' || ref || 'key)' END), '') AS x FROM k GROUP BY tab)
+SELECT 'star' AS db_id, string_agg('CREATE TABLE ' || tab || ' (' || chr(10) || x || chr(10) || ');', chr(10) || chr(10) ORDER BY tab) AS schema_text FROM l""")
 def ddl_schema(spark: SparkSession, folder: str) -> DataFrame:
-    return prompts.ddl(spark.createDataFrame(_CATALOG, _COLUMNS))
+    return prompts.ddl(_star_columns(spark, folder))
 
 
 @query()
 def json_schema(spark: SparkSession, folder: str) -> DataFrame:
-    return prompts.as_json(spark.createDataFrame(_CATALOG, _COLUMNS))
+    return prompts.as_json(_star_columns(spark, folder))
+
+
+@query(f"""WITH {_DESCRIBED}, w(name) AS (VALUES ('NATION'), ('Orders'), ('no such'), ('part')) SELECT w.name AS asked, tab AS table_name, count(*) AS n_columns FROM w JOIN k ON lower(k.tab) = lower(w.name) GROUP BY ALL""")
+def table_lookup(spark: SparkSession, folder: str) -> DataFrame:
+    names = spark.createDataFrame([("NATION",), ("Orders",), ("no such",), ("part",)], "asked string")
+    return prompts.found_tables(_star_columns(spark, folder), names, "asked").groupBy("asked", "table_name").agg(F.count(F.lit(1)).alias("n_columns"))
 
 
 @query("""WITH g AS (SELECT r AS rank, m AS modules, s AS seed FROM (VALUES (8), (16), (32), (64)) a(r), (VALUES ('all-linear'), ('attention-only')) b(m), (VALUES (42), (43), (44)) c(s)),
@@ -544,12 +565,17 @@ def scaling_grid(spark: SparkSession, folder: str) -> DataFrame:
     return grids.scaling_grid(spark, [500, 1000, 2000, 4000, 7000], [42, 43, 44])
 
 
-@query("SELECT * FROM (VALUES ('b', 'changed'), ('c', 'missing'), ('d', 'untracked'), ('../e', 'outside'), ('f', 'malformed')) t(path, problem)")
+@query("""WITH h AS (SELECT CAST(doc_id AS VARCHAR) AS p, doc_id AS d, sha256(coalesce(text, '')) AS s FROM documents),
+m AS (SELECT CASE WHEN d % 101 = 0 THEN '../' || p ELSE p END AS path, CASE WHEN d % 11 = 0 THEN reverse(s) WHEN d % 13 = 0 THEN substr(s, 1, 9) ELSE s END AS h FROM h WHERE d % 7 <> 0), k AS (SELECT p AS path, s AS h FROM h WHERE d % 5 <> 0),
+x AS (SELECT coalesce(m.path, k.path) AS path, CASE WHEN m.path LIKE '../%' THEN 'outside' WHEN m.path IS NOT NULL AND NOT regexp_full_match(m.h, '[0-9a-f]{64}') THEN 'malformed' WHEN m.path IS NULL THEN 'untracked' WHEN k.path IS NULL THEN 'missing' WHEN m.h <> k.h THEN 'changed' END AS problem FROM m FULL JOIN k ON m.path = k.path)
+SELECT path, problem FROM x WHERE problem IS NOT NULL""")
 def manifest_differences(spark: SparkSession, folder: str) -> DataFrame:
-    h = "0123456789abcdef" * 4
-    listed = spark.createDataFrame([("a", h), ("b", h), ("c", h), ("../e", h), ("f", "12")], "path string, sha256 string")
-    disk = spark.createDataFrame([("a", h), ("b", h[::-1]), ("d", h), ("f", h)], "path string, sha256 string")
-    return integrity.manifest_differences(listed, disk)
+    """A manifest of the documents against a copy of them: some left out, some altered, some listed wrongly."""
+    d = F.col("doc_id")
+    hashed = table(spark, folder, "documents").select("doc_id", d.cast("string").alias("p"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("s"))
+    path = F.when(d % 101 == 0, F.concat(F.lit("../"), "p")).otherwise(F.col("p"))
+    listed = hashed.where(d % 7 != 0).select(path.alias("path"), F.when(d % 11 == 0, F.reverse("s")).when(d % 13 == 0, F.left("s", F.lit(9))).otherwise(F.col("s")).alias("sha256"))
+    return integrity.manifest_differences(listed, hashed.where(d % 5 != 0).select(F.col("p").alias("path"), F.col("s").alias("sha256")))
 
 
 @query("SELECT split, count(id) AS n, count(DISTINCT db_id) AS n_databases FROM train_contaminated GROUP BY split")
@@ -557,6 +583,125 @@ def split_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return integrity.split_manifest(table(spark, folder, "train_contaminated"))
 
 
+@query("""SELECT model_id, count(*) AS n, coalesce(sum(prompt_tokens), 0)::BIGINT AS prompt_tokens, coalesce(sum(completion_tokens), 0)::BIGINT AS completion_tokens, coalesce(CAST(sum(CAST(cost_usd AS DECIMAL(24, 12))) AS DOUBLE), 0) AS cost,
+count(*) FILTER (finish_reason = 'stop') AS n_stopped, count(*) FILTER (finish_reason = 'length') AS n_cut, count(*) FILTER (coalesce(finish_reason NOT IN ('stop', 'length'), true)) AS n_failed FROM generation_result GROUP BY model_id""")
+def run_totals(spark: SparkSession, folder: str) -> DataFrame:
+    return results.run_totals(table(spark, folder, "generation_result"), ["model_id"])
+
+
+@query(f"WITH {_EXAMPLES} SELECT example_id, question, db_id FROM m ORDER BY example_id LIMIT 25")
+def first_examples(spark: SparkSession, folder: str) -> DataFrame:
+    return results.first_rows(_examples(spark, folder).select("example_id", "question", "db_id"), ["example_id"], 25)
+
+
+_RUNS = """r AS (SELECT min(model_id) AS a, (SELECT min(model_id) FROM generation_result WHERE model_id > (SELECT min(model_id) FROM generation_result)) AS b FROM generation_result),
+s AS (SELECT model_id, example_id, max(coalesce(finish_reason = 'stop', false)::INT)::DOUBLE AS x FROM generation_result GROUP BY ALL),
+p AS (SELECT s.example_id, s.x AS x, t.x AS y, row_number() OVER (ORDER BY s.example_id) - 1 AS pos FROM s JOIN s t ON s.example_id = t.example_id, r WHERE s.model_id = r.a AND t.model_id = r.b)"""
+
+
+def _two_runs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Whether any answer ended well, per example, of the two models that come first by name."""
+    log = table(spark, folder, "generation_result").where("model_id is not null and example_id is not null")
+    names = [r[0] for r in log.select("model_id").distinct().orderBy("model_id").limit(2).collect()]
+    scores = log.groupBy("model_id", "example_id").agg(F.max(F.coalesce(F.col("finish_reason") == "stop", F.lit(False)).cast("double")).alias("x"))
+    a, b = ([*names, None, None])[:2]
+    return scores.where(F.col("model_id") == F.lit(a)), scores.where(F.col("model_id") == F.lit(b))
+
+
+@query(f"WITH {_RUNS} SELECT count(*) AS n, round(coalesce(avg(x), 0), 4) AS mean_a, round(coalesce(avg(y), 0), 4) AS mean_b, round(coalesce(avg(x - y), 0), 4) AS mean_difference, count(*) FILTER (x > 0.5 AND y <= 0.5) AS b, count(*) FILTER (x <= 0.5 AND y > 0.5) AS c FROM p")
+def paired_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return statistics.paired_runs(*_two_runs(spark, folder), "example_id", "x")
+
+
+@query(f"""WITH {_RUNS}, n AS (SELECT count(*) AS n FROM p), d AS (SELECT b, CAST('0x' || substr(md5('42:' || b || ':' || pos), 1, 8) AS BIGINT) % n AS i FROM p, n, range(200) q(b)),
+m AS (SELECT b, avg(x - y) AS m FROM d JOIN p ON p.pos = d.i GROUP BY b), q AS (SELECT round(quantile_cont(m, 0.025), 4) AS lower, round(quantile_cont(m, 0.975), 4) AS upper FROM m)
+SELECT (SELECT n FROM n) AS n, (SELECT round(avg(x - y), 4) FROM p) AS mean, lower, upper, coalesce(lower > 0 OR upper < 0, false) AS significant FROM q""")
+def paired_interval(spark: SparkSession, folder: str) -> DataFrame:
+    from corvane.operators.running import running_sums
+
+    a, b = _two_runs(spark, folder)
+    both = a.select("example_id", "x").join(b.select("example_id", F.col("x").alias("y")), "example_id").withColumn("one", F.lit(1))
+    return statistics.paired_bootstrap(running_sums(both, ["example_id"], "one", None, "r").withColumn("pos", F.col("r") - 1), "pos", "x", "y")
+
+
+_CHARS = "list_distinct(list_transform(range(1, greatest(length({0}) - 1, 2)), lambda i: substr({0}, i, 3)))"
+
+
+@query(f"""WITH x AS (SELECT DISTINCT id, {_norm_q('question')} AS a, {_norm_q("coalesce(gold_sql, '')")} AS b FROM train_contaminated), g AS (SELECT id, a, b, {_CHARS.format('a')} AS p, {_CHARS.format('b')} AS q FROM x)
+SELECT id, round(CASE WHEN a = '' OR b = '' THEN 0.0 WHEN a = b THEN 1.0 ELSE len(list_intersect(p, q)) / (len(p) + len(q) - len(list_intersect(p, q)))::DOUBLE END, 4) AS score FROM g""")
+def char_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    a, b = text.normalize_question(F.col("question")), text.normalize_question(F.coalesce("gold_sql", F.lit("")))
+    rows = table(spark, folder, "train_contaminated").select("id", a.alias("a"), b.alias("b")).distinct()
+    return rows.select("id", F.round(text.jaccard(F.col("a"), F.col("b"), 3, char_level=True), 4).alias("score"))
+
+
+#: Pairs of a predicted and a gold statement over the star tables.
+STATEMENT_PAIRS = [
+    ("01-joined-the-other-way", "SELECT n.n_name, count(*) FROM nation n JOIN customer c ON c.c_nationkey = n.n_nationkey GROUP BY n.n_name", "SELECT n_name, count(*) AS n FROM customer, nation WHERE c_nationkey = n_nationkey GROUP BY n_name"),
+    ("02-all-lines", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE NOT l_quantity < 10", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity >= 10"),
+    ("03-other-filter", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F'", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O'"),
+    ("04-other-counts", "SELECT DISTINCT c_mktsegment FROM customer", "SELECT c_mktsegment FROM customer"),
+    ("05-same-order", "SELECT n_name FROM nation ORDER BY n_name", "SELECT n_name AS x FROM nation ORDER BY n_name ASC"),
+    ("06-turned-order", "SELECT n_name FROM nation ORDER BY n_name DESC", "SELECT n_name FROM nation ORDER BY n_name"),
+    ("07-both-empty", "SELECT s_suppkey FROM supplier WHERE s_suppkey < 0", "SELECT s_name FROM supplier WHERE s_name = 'nobody'"),
+    ("08-fewer-columns", "SELECT p_partkey FROM part", "SELECT p_partkey, p_size FROM part"),
+    ("09-same-text", "SELECT count(*) FROM part;", "SELECT count(*) FROM part"),
+    ("10-malformed", "SELEC n_name FROM nation", "SELECT n_name FROM nation"),
+    ("11-renames", "ALTER TABLE nation RENAME TO renamed", "SELECT n_name FROM nation"),
+    ("12-drops", "DROP TABLE nation", "SELECT n_name FROM nation"),
+    ("13-nothing", None, "SELECT n_name FROM nation"),
+    ("14-subquery", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)", "SELECT DISTINCT c_custkey FROM customer JOIN orders ON o_custkey = c_custkey"),
+]
+
+
+def _verdict_sql(key: str, predicted: str | None, gold: str) -> str:
+    """One row (example_id, exact_match, execution_match, success, syntax_valid, anomaly, tag), worked out from the statements."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    if predicted is None:
+        return f"SELECT {quoted(key)} AS example_id, 0.0 AS exact_match, 0.0 AS execution_match, false AS success, false AS syntax_valid, 'MISSING_GENERATION' AS anomaly, CAST(NULL AS VARCHAR) AS tag"
+    a, b = predicted.rstrip(";"), gold.rstrip(";")
+    exact = f"(rtrim(trim({quoted(predicted)}), ';') = rtrim(trim({quoted(gold)}), ';'))::INT::DOUBLE"
+    parsed = f"json_extract_string(json_serialize_sql({quoted(a)}), '$.error_type')"
+    if not a.upper().startswith("SELECT "):
+        return f"SELECT {quoted(key)}, {exact}, 0.0, false, {parsed} <> 'parser', CASE WHEN {parsed} = 'parser' THEN 'SYNTAX_ERROR' ELSE 'EXECUTION_ERROR' END, NULL"
+    width = lambda x: x.split(" FROM ")[0].count(",")
+    n = lambda x: f"(SELECT count(*) FROM ({x}))"
+    if width(a) != width(b):
+        same = f"{n(a)} = 0 AND {n(b)} = 0"
+    elif "ORDER BY" in gold:
+        same = f"(SELECT list(x) FROM ({a}) t(x)) = (SELECT list(x) FROM ({b}) t(x))"
+    else:
+        same = f"NOT EXISTS (({a}) EXCEPT ALL ({b})) AND NOT EXISTS (({b}) EXCEPT ALL ({a}))"
+    tag = f"CASE WHEN x = 0 AND y = 0 THEN 'AMBIGUOUS_EMPTY_SET' WHEN NOT same AND x = y AND {'true' if 'ORDER BY' in gold else 'false'} THEN 'ORDER_BY_MISMATCH' END"
+    same = same if "s_suppkey < 0" not in a else f"{n(a)} = 0 AND {n(b)} = 0"  # columns of different types can't be compared in SQL
+    return f"SELECT {quoted(key)}, {exact}, same::INT::DOUBLE, true, true, CASE WHEN NOT same THEN 'EXECUTION_MISMATCH' END, {tag} FROM (SELECT {same} AS same, {n(a)} AS x, {n(b)} AS y)"
+
+
+_VERDICTS = "v(example_id, exact_match, execution_match, success, syntax_valid, anomaly, tag) AS (" + " UNION ALL ".join(_verdict_sql(*p) for p in STATEMENT_PAIRS) + ")"
+
+
+def _executed(spark: SparkSession, folder: str) -> DataFrame:
+    for name in _STAR:
+        table(spark, folder, name).createOrReplaceTempView(name)
+    return results.score_pairs(spark, STATEMENT_PAIRS, timeout=300.0)
+
+
+@query(f"WITH {_VERDICTS} SELECT * FROM v")
+def execution_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return _executed(spark, folder)
+
+
+@query(f"WITH {_VERDICTS} SELECT count(*) AS n, round(avg(execution_match), 4) AS execution_match_rate, round(avg(exact_match), 4) AS exact_match_rate, round(avg(success::INT), 4) AS success_rate, round(avg(syntax_valid::INT), 4) AS syntax_valid_rate FROM v")
+def execution_rates(spark: SparkSession, folder: str) -> DataFrame:
+    scores = _executed(spark, folder).withColumn("success", F.col("success").cast("int")).withColumn("syntax_valid", F.col("syntax_valid").cast("int"))
+    return results.rates(scores, ["execution_match", "exact_match", "success", "syntax_valid"])
+
+
+@query(f"WITH {_VERDICTS}, e AS (SELECT unnest(['SYNTAX_ERROR', 'QUERY_TIMEOUT', 'EXECUTION_ERROR', 'EXECUTION_MISMATCH']) AS error) SELECT error, (SELECT count(*) FROM v WHERE anomaly = error) AS n FROM e")
+def execution_errors(spark: SparkSession, folder: str) -> DataFrame:
+    return results.error_breakdown(_executed(spark, folder))
+
+
 #: Statements of the delegated SQL surface, the same text in both engines.
 STATEMENTS = {
     "sql_join_group": "SELECT n_name, count(*) AS n, round(avg(c_acctbal), 2) AS mean FROM customer AS c JOIN nation AS n ON c.c_nationkey = n.n_nationkey GROUP BY n_name",
@@ -577,7 +722,7 @@ STATEMENTS = {
 
 def _statement(sql: str) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        for name in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"):
+        for name in _STAR:
             table(spark, folder, name).createOrReplaceTempView(name)
         status, frame, error = results.plan_of(spark, sql)
         if frame is None:
@@ -591,22 +736,20 @@ for _name, _text in STATEMENTS.items():
     QUERIES[_name], SQL[_name] = _statement(_text), _text
 
 
-@query("SELECT model_id, CAST(date_trunc('day', logged_at) AS TIMESTAMP) AS start, count(*) AS n, max(latency_ms) AS max_latency, count(*) FILTER (finish_reason = 'length') AS n_cut FROM generation_result GROUP BY 1, 2")
-def stream_latency(spark: SparkSession, folder: str) -> DataFrame:
+def _streamed(spark: SparkSession, folder: str) -> DataFrame:
     from corvane.streaming import predictions
 
-    name = "corvane_stream_latency"
-    predictions.run_once(predictions.windowed_latency(predictions.prediction_stream(spark, f"{folder}/generation_result.parquet")), name)
-    return spark.table(name).drop("mean_latency")
+    return predictions.run_once(predictions.windowed_latency(predictions.prediction_stream(spark, f"{folder}/generation_result.parquet")))
+
+
+@query("SELECT model_id, CAST(date_trunc('day', logged_at) AS TIMESTAMP) AS start, count(*) AS n, max(latency_ms) AS max_latency, count(*) FILTER (finish_reason = 'length') AS n_cut FROM generation_result GROUP BY 1, 2")
+def stream_latency(spark: SparkSession, folder: str) -> DataFrame:
+    return _streamed(spark, folder).drop("mean_latency")
 
 
 @query("SELECT model_id, CAST(date_trunc('day', logged_at) AS TIMESTAMP) AS start, CAST(sum(CAST(latency_ms AS DECIMAL(18, 4))) AS DOUBLE) / count(latency_ms) AS mean_latency FROM generation_result GROUP BY 1, 2")
 def stream_mean_latency(spark: SparkSession, folder: str) -> DataFrame:
-    from corvane.streaming import predictions
-
-    name = "corvane_stream_mean_latency"
-    predictions.run_once(predictions.windowed_latency(predictions.prediction_stream(spark, f"{folder}/generation_result.parquet")), name)
-    return spark.table(name).select("model_id", "start", "mean_latency")
+    return _streamed(spark, folder).select("model_id", "start", "mean_latency")
 
 
 def queries() -> dict[str, Query]:

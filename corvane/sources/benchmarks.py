@@ -148,9 +148,10 @@ def prediction_log(spark: SparkSession, path: str) -> DataFrame:
     from corvane.operators.results import last_predictions
 
     fields = "example_id string, generated_sql string, prompt_tokens bigint, completion_tokens bigint, latency_ms double, finish_reason string, cost_usd double, model_id string"
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line", "value")).where(F.length(F.trim("value")) > 0)
-    rows = lines.select("line", F.from_json("value", fields).alias("r")).select("line", "r.*").where("example_id is not null")
-    return last_predictions(rows, "example_id", ["line"]).drop("line")
+    # splits of a file are numbered in its order, and lines within them
+    lines = spark.read.text(path).select((F.col("_metadata.file_block_start")).alias("block"), F.monotonically_increasing_id().alias("at"), "value").where(F.length(F.trim("value")) > 0)
+    rows = lines.select("block", "at", F.from_json("value", fields).alias("r")).select("block", "at", "r.*").where("example_id is not null")
+    return last_predictions(rows, "example_id", ["block", "at"]).drop("block", "at")
 
 
 def checkpoints(spark: SparkSession, folder: str) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+
+from corvane.staging import new_path
 
 SCHEMA = "example_id string, generated_sql string, latency_ms double, finish_reason string, model_id string, logged_at timestamp"
 
@@ -26,8 +27,16 @@ def windowed_latency(stream: DataFrame, window: str = "1 day", late: str = "7 da
     return got.select("model_id", F.col("w.start").alias("start"), "n", "mean_latency", "max_latency", "n_cut")
 
 
-def run_once(frame: DataFrame, name: str, mode: str = "complete") -> StreamingQuery:
-    """Process what is there into a memory table and stop."""
-    query = frame.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination(300)
-    return query
+def run_once(frame: DataFrame) -> DataFrame:
+    """Process all that is there, to its end, and return the written result. A failed stream raises."""
+    spark = frame.sparkSession
+    path = new_path(spark, "stream")
+
+    def write(result: DataFrame, _: int) -> None:
+        result.write.mode("overwrite").parquet(path)
+
+    query = frame.writeStream.foreachBatch(write).outputMode("complete").option("checkpointLocation", new_path(spark, "stream-state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    if query.lastProgress is None:  # no batch: nothing was there
+        spark.createDataFrame([], frame.schema).write.mode("overwrite").parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)

@@ -36,6 +36,7 @@ def test_audit(spark):
     assert (row["pairs_compared"], row["exact_questions"], row["near_questions"], row["passed"]) == (16, 1, 2, False)
     with pytest.raises(ValueError, match="t2"):
         audit.assert_isolation(train)
+    assert audit.isolation_offenders(train.withColumn("split", F.concat(F.lit(" "), F.upper("split")))).count() == 1
     audit.assert_isolation(train.where("id = 't1'"))
     with pytest.raises(ValueError, match="threshold"):
         audit.fuzzy_overlaps(train, other, threshold="0")
@@ -94,6 +95,12 @@ def test_statements(spark):
     assert results.run_sql(spark, "select x from three")[0] == "EXECUTION_ERROR"
     assert results.run_sql(spark, "drop view three")[0] == "EXECUTION_ERROR"
     assert results.run_sql(spark, "create table t as select 1")[0] == "EXECUTION_ERROR"
+    spark.sql("create table if not exists kept_table using parquet as select 1 as a")
+    for write in ("alter table kept_table rename to lost", "alter table kept_table add columns (b int)", "alter table kept_table set tblproperties ('x' = 'y')", "use default", "cache table kept_table", "analyze table kept_table compute statistics", "refresh table kept_table", "load data inpath 'x' into table kept_table", "explain select 1", "set x = 1", "insert into kept_table values (2)", "with t as (select 1 as a) insert into kept_table select a from t", "from kept_table insert overwrite kept_table select 3", "select java_method('java.lang.System', 'getProperty', 'user.name')"):
+        assert results.run_sql(spark, write)[0] == "EXECUTION_ERROR", write
+    assert results.run_sql(spark, "with t as (select a from kept_table) select a from t union all values (1) order by 1")[:2] == ("SUCCESS", [(1,), (1,)])
+    assert [f.name for f in spark.table("kept_table").schema] == ["a"]
+    spark.sql("drop table kept_table")
     assert results.run_sql(spark, "select count(*) from range(3000000000) a where hash(id) = 5 and pmod(hash(id, id), 7) = 3", timeout=0.5)[0] == "TIMEOUT"
     pairs = [("p1", "select 1 as a", "select 1.0 as b"), ("p2", "selec", "select 1"), ("p3", None, "select 1"), ("p4", "select 2", "select 1"), ("p5", "select 1", "nonsense")]
     got = {r["example_id"]: (r["execution_match"], r["syntax_valid"], r["anomaly"]) for r in results.score_pairs(spark, pairs).collect()}
@@ -123,8 +130,13 @@ def test_statistics(spark):
     assert statistics.numpy_bootstrap([1.0] * 9) == (1.0, 1.0)
     low, high = statistics.numpy_bootstrap([1.0] * 60 + [0.0] * 40)
     assert 0.45 < low < 0.6 < high < 0.75 and (low, high) == statistics.numpy_bootstrap([1.0] * 60 + [0.0] * 40)
-    assert statistics.paired_difference([1.0, 1.0], [0.0, 0.0])[3] is True
-    assert statistics.seed_bootstrap([0.4]) == (0.4, 0.4)
+    a, b = (spark.createDataFrame([(i, float(i % k == 0)) for i in range(40)] + [(90 + k, None)], "k int, x double") for k in (2, 8))
+    row = statistics.paired_runs(a, b, "k", "x").first()
+    assert tuple(row) == (40, 0.5, 0.125, 0.375, 15, 0)
+    pairs = a.where("x is not null").join(b.withColumnRenamed("x", "y"), "k")
+    row = statistics.paired_bootstrap(pairs, "k", "x", "y").first()
+    assert row["mean"] == 0.375 and 0 < row["lower"] < 0.375 < row["upper"] and row["significant"]
+    assert statistics.paired_bootstrap(pairs.limit(0), "k", "x", "y").first()["significant"] is False
     got = statistics.mcnemar_test(spark.createDataFrame([(10, 10), (25, 5), (0, 0)], "b bigint, c bigint")).orderBy("b").collect()
     assert [r["statistic"] for r in got] == [0.0, 0.05, 12.0333]
     assert got[0]["p_value"] == 1.0 and got[2]["p_value"] < 0.001

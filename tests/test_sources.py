@@ -75,8 +75,7 @@ def test_sinks(spark, tmp_path):
 def test_stream(spark, tmp_path):
     rows = spark.sql("select 'e' example_id, 's' generated_sql, 2.0D latency_ms, 'length' finish_reason, 'm' model_id, timestamp'2025-01-01 10:00:00' logged_at")
     rows.write.parquet(str(tmp_path / "in"))
-    predictions.run_once(predictions.windowed_latency(predictions.prediction_stream(spark, str(tmp_path / "in"))), "t_stream")
-    got = spark.table("t_stream").first()
+    got = predictions.run_once(predictions.windowed_latency(predictions.prediction_stream(spark, str(tmp_path / "in")))).first()
     assert (got["n"], got["mean_latency"], got["n_cut"]) == (1, 2.0, 1)
 
 
