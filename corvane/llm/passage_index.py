@@ -7,7 +7,7 @@ at least ``span`` consecutive such terms, since a shared passage is a run of tha
 since an edited word may break the run. Corpus frequencies of the terms are then summed over all shards, and every
 window of ``span`` words of an evaluation text is answered from its rarest terms: their positions, shifted to the
 window's start, are intersected with the shifted positions of the next rarest term, and so on. For a phrase every
-term must stand at its place; for proximity all but ``slop`` of them must stand at most ``slop`` words out of place.
+term must stand at its place; for proximity all but ``missing`` of them must stand at most ``slop`` words out of place.
 No text or posting is shuffled; only terms, their counts and matches are.
 
 The evaluation texts are the stated query set. They are looked up in blocks of at most ``BLOCK_WORDS`` words, so that
@@ -124,16 +124,16 @@ class Windows:
     ``members`` (from ``first_member`` on, ``sizes`` many): the windows of each. Neighbouring windows mostly share theirs.
     """
 
-    def __init__(self, items: np.ndarray, flat: np.ndarray, offsets: np.ndarray, counts: np.ndarray, span: int, slop: int) -> None:
+    def __init__(self, items: np.ndarray, flat: np.ndarray, offsets: np.ndarray, counts: np.ndarray, span: int, slop: int, missing: int) -> None:
         begin = np.repeat(offsets[:-1], np.maximum(0, np.diff(offsets) - span + 1))
         which = np.repeat(np.arange(len(items)), np.maximum(0, np.diff(offsets) - span + 1))
         first = np.arange(len(begin)) - np.searchsorted(which, which)
         words = flat[(begin + first)[:, None] + np.arange(span)]
-        possible = (counts[words] > 0).sum(axis=1) >= span - slop
+        possible = (counts[words] > 0).sum(axis=1) >= span - missing
         words, self.item, self.first = words[possible], items[which[possible]], first[possible]
         self.shift = np.argsort(counts[words], axis=1, kind="stable").astype(np.int32)
         self.terms = np.take_along_axis(words, self.shift, axis=1)
-        self.most = min(span, slop + 2 if slop else 1)
+        self.most = min(span, missing + 2 if slop else 1)
         key = np.hstack([self.terms[:, : self.most], self.shift[:, : self.most] - self.shift[:, :1]]) if slop else np.arange(len(words))[:, None]
         _, at, group = np.unique(key, axis=0, return_index=True, return_inverse=True)
         self.rare, self.gaps = self.terms[at, : self.most], (self.shift[at, : self.most] - self.shift[at, :1]).astype(np.int64)
@@ -145,10 +145,10 @@ class Windows:
 _LAST: list[tuple[object, Windows]] = []
 
 
-def _windows(shared: Broadcast, span: int, slop: int) -> Windows:
+def _windows(shared: Broadcast, span: int, slop: int, missing: int) -> Windows:
     """The block's windows, made once per Python worker; only the last block's are kept."""
     if not _LAST or _LAST[0][0] is not shared.value:
-        _LAST[:] = [(shared.value, Windows(*shared.value, span, slop))]
+        _LAST[:] = [(shared.value, Windows(*shared.value, span, slop, missing))]
     return _LAST[0][1]
 
 
@@ -160,7 +160,7 @@ def _near(term_at: np.ndarray, place: np.ndarray, term: np.ndarray, slop: int) -
     return hit
 
 
-def _search(shared: Broadcast, span: int, slop: int) -> object:
+def _search(shared: Broadcast, span: int, slop: int, missing: int) -> object:
     """Matches of the windows in the task's shards: phrase matches, merged to spans; proximity matches if slop > 0."""
     # no word that is looked up lies further from its anchor
     reach = span + slop + 1
@@ -197,12 +197,12 @@ def _search(shared: Broadcast, span: int, slop: int) -> object:
             for other in range(windows.most):
                 if other != k:
                     misses += ~_near(term_at, base + windows.gaps[group, other] + reach, windows.rare[group, other], slop)
-                    left = misses <= slop
+                    left = misses <= missing
                     group, anchor, base, misses = group[left], anchor[left], base[left], misses[left]
             yield group, base, anchor
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = _windows(shared, span, slop)
+        windows = _windows(shared, span, slop, missing)
         for batch in batches:
             for blob in batch.column(0).to_pylist():
                 with np.load(io.BytesIO(blob)) as z:
@@ -213,8 +213,8 @@ def _search(shared: Broadcast, span: int, slop: int) -> object:
                 term_at = np.full(int(positions.max()) + 4 * reach + 1, -1, np.int32)
                 term_at[positions + 2 * reach] = np.repeat(names, counts)
                 shifted = term_at[reach:]
-                # of a window with at most slop terms missing, one of the slop + 1 rarest stands near its place
-                found = [x for k in range(min(slop, windows.most - 1) + 1) for x in places(windows, names, counts, positions, shifted, k)]
+                # of a window with at most so many terms missing, one of the missing + 1 rarest stands near its place
+                found = [x for k in range(min(missing, windows.most - 1) + 1) for x in places(windows, names, counts, positions, shifted, k)]
                 group, base, anchor = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
                 _, one = np.unique(np.stack([group, base]), axis=1, return_index=True)
                 group, base, anchor = group[one], base[one], anchor[one]
@@ -226,7 +226,7 @@ def _search(shared: Broadcast, span: int, slop: int) -> object:
                     place = at + windows.shift[window, k] + reach
                     here = shifted[place] == windows.terms[window, k]
                     misses += ~(_near(shifted, place, windows.terms[window, k], slop) if slop else here)
-                    left = misses <= slop
+                    left = misses <= missing
                     exact &= here
                     window, at, anchor, misses, exact = window[left], at[left], anchor[left], misses[left], exact[left]
                 doc = np.searchsorted(starts, anchor, side="right") - 1
@@ -238,17 +238,18 @@ def _search(shared: Broadcast, span: int, slop: int) -> object:
     return run
 
 
-def passage_matches(documents: DataFrame, passages: DataFrame, span: int = 12, slop: int = 0, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
+def passage_matches(documents: DataFrame, passages: DataFrame, span: int = 12, slop: int = 0, missing: int = 1, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
     """Rows (doc_id, item_id, match_type, n_words, doc_word, item_word): runs of words that a document shares
     with an evaluation text.
 
     "phrase": at least ``span`` consecutive words in both, runs merged to their full length. With ``slop`` > 0 also
-    "proximity": a window of ``span`` words of the evaluation text, aligned so that one of its slop + 1 rarest words
-    stands in the document, of which all but at most ``slop`` words stand at most ``slop`` words out of place; phrases are
-    among them. Texts shorter than ``span`` words and null texts or ids match nothing; equal documents under two ids
+    "proximity": a window of ``span`` words of the evaluation text, aligned so that one of its missing + 1 rarest words
+    stands in the document, of which all but at most ``missing`` words stand at most ``slop`` words out of place; phrases
+    are among them. Texts shorter than ``span`` words and null texts or ids match nothing; equal documents under two ids
     both match.
     """
     spark = documents.sparkSession
+    missing = missing if slop else 0
     items = passages.select(F.col(item_id).cast("bigint").alias("item_id"), F.col(text).alias("text")).where("item_id is not null and text is not null").distinct()
     terms = [r["term"] for r in items.select("text").mapInArrow(_terms, "term string").distinct().collect()]
     vocabulary = {w: i for i, w in enumerate(sorted(terms))}
@@ -265,7 +266,7 @@ def passage_matches(documents: DataFrame, passages: DataFrame, span: int = 12, s
         coded = [(r["item_id"], np.array([vocabulary[w] for w in text_words(r["text"])], np.int32)) for r in sorted(part.collect())]
         offsets = np.cumsum([0, *(len(c) for _, c in coded)])
         told = (np.array([k for k, _ in coded], np.int64), np.concatenate([np.zeros(0, np.int32), *(c for _, c in coded)]), offsets, counts)
-        found = index.select("shard").mapInArrow(_search(spark.sparkContext.broadcast(told), span, slop), MATCH)
+        found = index.select("shard").mapInArrow(_search(spark.sparkContext.broadcast(told), span, slop, missing), MATCH)
         out = found if out is None else out.union(found)
     return out.select(F.col("doc_id"), "item_id", "match_type", "n_words", "doc_word", "item_word")
 

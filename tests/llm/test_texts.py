@@ -147,25 +147,25 @@ def test_proximity_of_edited_passages_against_all_places(spark, monkeypatch):
             quoted[k : k + rng.randint(0, 1)] = say(1, "typo")
         docs.append((d, say(rng.randint(0, 9), "x") + rng.choice([quoted, quoted[::-1], source, source[: len(source) // 2]]) + say(rng.randint(0, 9), "w")))
     docs = [(d, w) for d, w in docs if len(w) >= 12]
-    counts, slop = Counter(w for _, words in docs for w in words), 3
+    counts, slop, missing = Counter(w for _, words in docs for w in words), 3, 2
     want = set()
     for (d, words), (i, told) in itertools.product(docs, items):
         for f in range(len(told) - 11):
-            rare = sorted(range(12), key=lambda k: counts[told[f + k]])[: slop + 1]
+            rare = sorted(range(12), key=lambda k: counts[told[f + k]])[: missing + 1]
             for at in {p - k for p, w in enumerate(words) for k in rare if w == told[f + k]}:
                 near = sum(told[f + k] in words[max(0, at + k - slop) : max(0, at + k + slop + 1)] for k in range(12))
-                if near >= 12 - slop:
+                if near >= 12 - missing:
                     want.add((d, i))
     swapped = [(d, i) for d, i in want if not any(told[f : f + 12] == words[p : p + 12] for told in [dict(items)[i]] for words in [dict(docs)[d]] for f in range(len(told) - 11) for p in range(len(words) - 11))]
     assert swapped
     frame = spark.createDataFrame([(d, " ".join(w)) for d, w in docs], "doc_id bigint, text string").repartition(2)
     passages = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id bigint, text string")
-    rows = sorted(tuple(r) for r in passage_index.passage_matches(frame, passages, slop=slop).collect())
+    rows = sorted(tuple(r) for r in passage_index.passage_matches(frame, passages, slop=slop, missing=missing).collect())
     assert {r[:2] for r in rows if r[2] == "proximity"} == want
     exact = sorted(tuple(r) for r in passage_index.passage_matches(frame, passages).collect())
     assert [r for r in rows if r[2] == "phrase"] == exact and {r[:2] for r in exact} < want
     monkeypatch.setattr(passage_index, "AT_ONCE", 7)  # a run may not be cut where a part ends
-    assert sorted(tuple(r) for r in passage_index.passage_matches(frame, passages, slop=slop).collect()) == rows
+    assert sorted(tuple(r) for r in passage_index.passage_matches(frame, passages, slop=slop, missing=missing).collect()) == rows
     assert sorted(tuple(r) for r in passage_index.passage_matches(frame, passages).collect()) == exact
 
 
