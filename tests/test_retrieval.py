@@ -70,3 +70,19 @@ def test_pairs_are_not_shuffled(spark):
     time.sleep(2)
     assert written() - before < 2_000_000
     rows.unpersist()
+
+
+def test_demonstrations_without_shuffled_pairs(spark, tmp_path):
+    """20,000 examples that all share a word with all 400 queries: 8 million pairs, of which 1,200 are wanted."""
+    from corvane.plans import catalogue
+
+    shared = ["concat('common w', id % 7000, ' v', id % 900) question", "concat('db', id % 90) db_id", "'select 1' gold_sql", "'easy' difficulty", "'t : a' schema_context"]
+    spark.range(20000).selectExpr("concat('e_', id) example_id", *shared).write.parquet(str(tmp_path / "mock_spider.parquet"))
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    time.sleep(2)
+    before = written()
+    got = catalogue.queries()["prompts_with_demonstrations"](spark, str(tmp_path)).collect()
+    time.sleep(2)
+    assert len(got) == 400 and all((r["k_shots"], r["dropped"]) == (3, 0) for r in got)
+    shuffled = written() - before
+    assert shuffled < 12_000_000
