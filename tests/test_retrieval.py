@@ -86,3 +86,28 @@ def test_demonstrations_without_shuffled_pairs(spark, tmp_path):
     assert len(got) == 400 and all((r["k_shots"], r["dropped"]) == (3, 0) for r in got)
     shuffled = written() - before
     assert shuffled < 12_000_000
+
+
+def test_corpus_is_shuffled_once(spark):
+    """20,000 rows and 6,000 queries, which are parted: no part takes a copy of the rows with it."""
+    rows = spark.range(20000).selectExpr("cast(id as string) id", "concat('common w', id % 700, ' x', id, ' y', id * 7, ' z', id * 11) question").cache()
+    rows.count()
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    time.sleep(2)
+    before = written()
+    assert retrieval.top_k(rows, rows.where("id % 10 < 3").withColumnRenamed("id", "query_id"), 3).count() == 18000
+    time.sleep(2)
+    shuffled = written() - before
+    rows.unpersist()
+    assert shuffled < 8_000_000
+
+
+def test_rows_that_score_alike(spark, monkeypatch):
+    """Rows that differ in words no query has: the least ids count, and a query's own id never does, in whatever block."""
+    monkeypatch.setattr(retrieval, "BLOCK_TERMS", 300)
+    docs = [(f"d{i:03}", f"open the gate {'now' if i % 3 else 'later'} n{i}") for i in range(200)] + [("d007", "close the gate")]
+    asked = [(f"d{i:03}", f"the gate {'now' if i % 2 else 'later'} q{i}") for i in (0, 1, 2, 3, 7, 199)]
+    got = {}
+    for r in retrieval.top_k(spark.createDataFrame(docs, "id string, question string"), spark.createDataFrame(asked, "query_id string, question string"), 3).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["id"])
+    assert got == {q: [i for i, _ in x] for q, x in expected(docs, asked, 3, True).items()}
